@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL = "/tmp/affinis-checkpoints"
 
@@ -39,6 +40,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_added(df: DataFrame, ddl: str, names: list[str] | None = None) -> T.StructType:
+    """The schema of df (or of these columns of it) and further columns."""
+    return T.StructType([df.schema[c] for c in names or df.columns] + T.StructType.fromDDL(ddl).fields)
+
+
 def bounded_share(df: DataFrame, key: str, strata: str | None, bound: int, salt: int = 7) -> DataFrame:
     """Rows of df whose hashed key falls under a threshold chosen so that each stratum keeps about ``bound`` rows.
 

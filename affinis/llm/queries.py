@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, mixing, urls
+from . import bpe_count, chat, decontaminate, language, mixing, quality, urls
 from ._common import read
 
 RULES = [
@@ -17,6 +17,19 @@ RULES = [
 ]
 
 
+def _fold(key: str, n: int) -> Column:
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % n, F.lit(-1))
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label that has its id; most pages have none."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
@@ -24,6 +37,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages.select("page_id", "url", "bad"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    rows = docs.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "text")
+    return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0))
+    rows = docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return quality.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -96,10 +123,30 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
   formatted_chars::BIGINT AS formatted_chars, regexp_full_match(roles, '\|(system\|)?(user\|assistant\|)+') AS valid FROM c
 """
 
+#: An item of fewer than 13 words is one window; lens are the lengths of windows that there are.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM bi),
+lens AS (SELECT DISTINCT k FROM bw),
+di AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+dw AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM di, lens WHERE i + k - 1 <= len(w)),
+m AS (SELECT r, i, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op10_chat_format": OP10_SQL}
