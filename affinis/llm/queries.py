@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, decontaminate, language, mixing, quality, urls
+from . import bpe_count, chat, decontaminate, language, mixing, near_dup, quality, urls
 from ._common import read
 
 RULES = [
@@ -37,6 +37,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages.select("page_id", "url", "bad"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs.where(_fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
@@ -143,6 +147,7 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_near_dup": op4_near_dup,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
