@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, decontaminate, language, mixing, near_dup, quality, urls
+from . import bpe_count, chat, decontaminate, embed_dup, language, mixing, near_dup, quality, training_order, urls
 from ._common import read
 
 RULES = [
@@ -30,6 +30,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(read(spark, sf_dir, "documents").select("doc_id", "text"), fixed=True)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label that has its id; most pages have none."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
@@ -59,6 +63,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "block", "slot", "in_mix")
@@ -127,6 +135,18 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
   formatted_chars::BIGINT AS formatted_chars, regexp_full_match(roles, '\|(system\|)?(user\|assistant\|)+') AS valid FROM c
 """
 
+#: The reach of links is walked from every vector; few vectors have links.
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+"""
+
 #: An item of fewer than 13 words is one window; lens are the lengths of windows that there are.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -146,12 +166,14 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_training_order": op2_training_order,
     "op3_url_filter": op3_url_filter,
     "op4_near_dup": op4_near_dup,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_embedding_dup": op8_embedding_dup,
     "op9_mix_sources": op9_mix_sources,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op8_embedding_dup": OP8_SQL, "op10_chat_format": OP10_SQL}
