@@ -178,7 +178,7 @@ def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> Data
     that part goes, in blocks of bounded size, to every chunk. So every pair of texts has been compared, or is in the
     one part anyhow.
     """
-    rows = materialise(coarse.join(sketches.select("id", "shingles"), "id"), "members")
+    rows = materialise(sketches.select("id", "shingles").join(coarse.hint("merge"), "id"), "members")
     sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
     sizes = sizes.select("component", "n", F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
     sizes = materialise(sizes, "sizes")
@@ -221,14 +221,15 @@ def classes(
     linked to equal ones alone; a null text is a class of its own. Rows that repeat a key are one document. Rows with a
     null key have the class of texts equal to theirs, null if there are none. key must be an integer; only key and text are read.
     """
+    # the joins of what grows with the texts are sort-merge joins at every size, never broadcasts
     made = materialise(sketch(docs, key, text, bands, rows, shingle, tf), "sketches")
     equal = made.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"))
     equal = materialise(equal, "equal-texts")
-    reps = made.where("size(bands) > 0").join(equal.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = made.where("size(bands) > 0").join(equal.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("bucket", "hub")
-    coarse = components(buckets.join(hubs, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    coarse = components(buckets.join(hubs.hint("merge"), "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     found = _verified(coarse, reps, similarity).select(F.col("id").alias("rep"), "component")
-    out = made.select("id", "text_key").join(equal, "text_key", "left").join(found, "rep", "left")
+    out = made.select("id", "text_key").join(equal.hint("merge"), "text_key", "left").join(found.hint("merge"), "rep", "left")
     out = out.select(F.col("id").alias(key), F.coalesce("component", "rep", "id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col(key), F.lit(True)))
