@@ -30,7 +30,7 @@ def sdf_records(spark: SparkSession, path: str, skip_annotations: bool = False)
     )
     plain = plain.join(ends, "file").where(~(F.col("open") & (F.col("at") == F.col("last")) & ~F.col("value").endswith(END)))
     plain = plain.select(F.regexp_replace("value", r"\$\$\$\$$", "").alias("sdf"))
-    whole = spark.read.option("wholetext", True).text(path).where(F.col("_metadata.file_path").rlike(r"\.(gz|bz2|zst)$"))
+    whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").rlike(r"\.(gz|bz2|zst)$"))
     parts = F.split("value", r"(?m)^\$\$\$\$.*(?:\n|\z)", -1)
     whole = whole.select(F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("sdf"))
     out = plain.unionByName(whole).where(F.length(F.trim("sdf")) > 0)
@@ -44,7 +44,7 @@ def smiles(*_: object) -> DataFrame:
 def mol2_records(spark: SparkSession, path: str) -> DataFrame:
     """mol2, name: one row per molecule block; a file must begin with a block."""
     mark = "@<TRIPOS>MOLECULE"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     checked = whole.where(F.assert_true(F.ltrim("value").startswith(mark), F.lit("the first line is not @<TRIPOS>MOLECULE")).isNull())
     block = F.explode(F.filter(F.split("value", r"(?=@<TRIPOS>MOLECULE)"), lambda x: x.startswith(mark))).alias("mol2")
     return checked.select(block).withColumn("name", F.trim(F.try_element_at(F.split("mol2", "\n"), F.lit(2))))
@@ -58,7 +58,7 @@ def rename_mol2(records: DataFrame, name: str) -> DataFrame:
 
 def pdb_residues(spark: SparkSession, path: str) -> DataFrame:
     """file, n, chain, residue, residue_id, text: runs of ATOM and HETATM lines with one residue id, in file order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     atoms = whole.where(F.col("value").rlike("^(ATOM|HETATM)")).withColumn("residue_id", F.substring("value", 23, 5))
     atoms = atoms.where(F.trim(F.substring("value", 23, 4)).rlike(r"^-?\d+$"))
     w = Window.partitionBy("file").orderBy("line")
@@ -74,7 +74,8 @@ def pdb_residues(spark: SparkSession, path: str) -> DataFrame:
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """compound_id: positive integers, parted by white space. Zero is an error."""
-    ids = spark.read.text(path).select(F.explode(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")).cast("long").alias("compound_id"))
+    words = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    ids = spark.read.text(path).select(F.explode(words.cast("array<long>")).alias("compound_id"))
     return ids.where(F.assert_true(F.col("compound_id") > 0, F.lit("ids begin at 1")).isNull())
 
 
@@ -140,7 +141,7 @@ def weighted_sets(spark: SparkSession, path: str) -> DataFrame:
                         vecs.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(weights, pa.float64()), pa.array(vecs, pa.list_(pa.float64()))], names=["set_id", "weight", "vec"])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(parse, "set_id string, weight double, vec array<double>")
+    return spark.read.text(path, wholetext=True).mapInArrow(parse, "set_id string, weight double, vec array<double>")
 
 
 def record_file(spark: SparkSession, path: str, rows_per_batch: int = 8192) -> DataFrame:

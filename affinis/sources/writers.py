@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import descriptors, parse_sdf
@@ -31,7 +31,12 @@ def dense_rows(distances: DataFrame) -> DataFrame:
 
 def matrix_text(distances: DataFrame, separator: str = " ") -> DataFrame:
     """left_id, line: rows of a distance matrix with six significant digits."""
-    return dense_rows(distances).select("left_id", F.array_join(F.transform("dists", lambda x: F.format_string("%.6g", x)), separator).alias("line"))
+
+    def digits(x: Column) -> Column:
+        scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(x))))
+        return F.regexp_replace(F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale).cast("string"), r"\.0$", "")
+
+    return dense_rows(distances).select("left_id", F.array_join(F.transform("dists", digits), separator).alias("line"))
 
 
 def to_float_vectors(vectors: DataFrame, vec: str = "vec") -> DataFrame:

@@ -35,7 +35,7 @@ def test_tuning_parts():
     g = tuning.fit_gamma(rnd.mean(), float(np.exp(np.log(rnd).mean())))
     assert g.shape == pytest.approx(3.0, rel=0.03) and g.scale == pytest.approx(2.0, rel=0.03)
     r = [tuning.recall_at(d, 1.0, 4, 5, 8) for d in (0.05, 0.2, 0.8, 3.0)]
-    assert r == sorted(r, reverse=True) and r[0] > 0.99
+    assert all(a > b - 1e-4 for a, b in zip(r, r[1:])) and r[0] > 0.99
     assert tuning.recall_at(0.5, 1.0, 4, 5, 16) >= tuning.recall_at(0.5, 1.0, 4, 5, 4)
     assert tuning.tune([(0, 10), (0, 10)], lambda v: v[0] * v[1] >= 12) == [2, 6]
     assert tuning.tune([(0, 3)], lambda v: False) is None
