@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.lsh import HashFamily
 from ..functions.measures import hamming, l2, weighted_hamming
+from ..plans.lineage import bounded
 from .lsh_index import LshParams
 from .search import matrix, refine, top_k
 
+MAX_QUERIES = 100_000
+
 
 def sketch(items: DataFrame, params: LshParams, key: str = "id", vec: str = "vec") -> DataFrame:
     """id, words array<long> (32 bits each), bits array<int>, deltas array<double>: low bits of all projections, and how far each is from flipping."""
@@ -39,10 +42,11 @@ def sketch_search(
 ) -> DataFrame:
     """query_id, target_id, dist, rank: the k nearest by exact distance of ratio * k candidates by Hamming distance.
 
-    weighted: a differing bit counts by how far the query is from flipping it. query_sketches are a bounded set (100 000
-    at most), broadcast.
+    weighted: a differing bit counts by how far the query is from flipping it. query_sketches are a bounded set
+    (MAX_QUERIES at most, checked), broadcast.
     """
-    q = F.broadcast(query_sketches.limit(100_000).select(F.col("id").alias("query_id"), F.col("words").alias("qw"), F.col("bits").alias("qb"), F.col("deltas").alias("qd")))
+    q = query_sketches.select(F.col("id").alias("query_id"), F.col("words").alias("qw"), F.col("bits").alias("qb"), F.col("deltas").alias("qd"))
+    q = bounded(q, MAX_QUERIES, "queries")
     x = sketches.select(F.col("id").alias("target_id"), "words", "bits")
     gap = weighted_hamming("qb", "bits", "qd") if weighted else hamming("qw", "words").cast("double")
     rows = x.join(q, F.col("query_id") != F.col("target_id")) if exclude_self else x.crossJoin(q)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import compound_name, descriptor_from_string, descriptor_to_string, descriptors, fold_fingerprint, parse_sdf
 from ..functions.measures import default_distance
 from ..operators import clustering, evaluation, lsh_index, sets
-from ..operators.embedding import classical_scaling, distances_to_references, embed, reference_matrix
+from ..operators.embedding import MAX_REFERENCES, classical_scaling, distances_to_references, embed, reference_matrix
 from ..operators.search import knn, refine
-from .lineage import materialise
+from .lineage import bounded, materialise
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -120,7 +120,7 @@ def by_name(db: Database, names: DataFrame) -> DataFrame:
 
 def _pairs_to(rows: DataFrame, refs: DataFrame, distance: Callable[[Column, Column], Column]) -> DataFrame:
     """query_id, target_id, dist of every row to every reference; the references are a bounded set (see reference_matrix)."""
-    r = F.broadcast(refs.select(F.col("compound_id").alias("target_id"), F.col("descriptor").alias("__r")))
+    r = bounded(refs.select(F.col("compound_id").alias("target_id"), F.col("descriptor").alias("__r")), MAX_REFERENCES, "references")
     return rows.crossJoin(r).select(F.col("compound_id").alias("query_id"), "target_id", distance(F.col("descriptor"), F.col("__r")).alias("dist"))
 
 

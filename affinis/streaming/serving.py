@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.measures import l2
-from ..operators.embedding import embed
+from ..operators.embedding import MAX_REFERENCES, embed
 from ..operators.lsh_index import LshParams, build_index, build_probes, candidates
 from ..operators.search import refine
+from ..plans.lineage import bounded
 
 
 def coordinates(stream: DataFrame, references: np.ndarray, key: str = "id", column: str = "dists") -> DataFrame:
@@ -30,8 +31,8 @@ def bucket_hits(queries: DataFrame, index: DataFrame, params: LshParams, probes:
 
 
 def compare_to_references(stream: DataFrame, references: DataFrame, distance: Callable[[Column, Column], Column] = l2, key: str = "id", value: str = "vec") -> DataFrame:
-    """Stream of id, value -> id, ref_id, dist against a bounded set of references (10 000 at most), broadcast."""
-    refs = F.broadcast(references.limit(10_000).select(F.col(key).alias("ref_id"), F.col(value).alias("__r")))
+    """Stream of id, value -> id, ref_id, dist against a bounded set of references (checked), broadcast."""
+    refs = bounded(references.select(F.col(key).alias("ref_id"), F.col(value).alias("__r")), MAX_REFERENCES, "references")
     return stream.crossJoin(refs).select(F.col(key), "ref_id", distance(F.col(value), F.col("__r")).alias("dist"))
 
 
