@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -199,3 +200,29 @@ def cluster(db: Database, k: int, min_shared: int, cutoff: float | None = None,
     best = refine(near, db.compounds, db.compounds, default_distance(c.descriptor_type), k, cutoff, key="compound_id", value="descriptor")
     lists = materialise(clustering.neighbour_lists(best), "neighbours")
     return lists if matrix_only else clustering.jarvis_patrick(lists, min_shared, mutual)
+
+
+def save_settings(db: Database, path: str) -> None:
+    """One row: settings, references and coordinates."""
+    at = [] if db.coordinates is None else db.coordinates.tolist()
+    row = db.spark.createDataFrame([(json.dumps(asdict(db.config)), db.references, at)], "config string, refs array<long>, coordinates array<array<double>>")
+    row.write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def save(db: Database, path: str) -> None:
+    """Write a database to a folder that it was not read from."""
+    db.compounds.write.mode("overwrite").parquet(f"{path}/compounds")
+    if db.vectors is not None:
+        db.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        db.index.write.mode("overwrite").parquet(f"{path}/index")
+    save_settings(db, path)
+
+
+def load(spark: SparkSession, path: str, embedded: bool = True) -> Database:
+    """embedded=False: without what build_embedding has made."""
+    r = spark.read.parquet(f"{path}/settings").first()
+    db = Database(spark.read.parquet(f"{path}/compounds"), Config(**json.loads(r["config"])), list(r["refs"]))
+    if embedded and r["coordinates"]:
+        db.coordinates = np.array(r["coordinates"])
+        db.vectors, db.index = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/index")
+    return db

@@ -92,3 +92,9 @@ def fingerprint(vectors: DataFrame, key: str = "id", vec: str = "vec") -> str:
     """A digest of all rows that does not depend on their order."""
     row = vectors.agg(F.count("*"), F.bit_xor(F.xxhash64(F.col(key), F.col(vec).cast("array<double>")))).first()
     return f"{row[0]:x}-{(row[1] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
+def save_index_table(index: DataFrame, name: str, buckets: int = 64) -> DataFrame:
+    """Keep an index (tbl, bucket, id) as a table bucketed by its join key, so that a lookup shuffles the probes alone."""
+    index.write.mode("overwrite").bucketBy(buckets, "tbl", "bucket").sortBy("tbl", "bucket").saveAsTable(name)
+    return index.sparkSession.table(name)
