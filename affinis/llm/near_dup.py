@@ -72,7 +72,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str, text: str, bands: int, rows: int, size: int, tf: bool) -> DataFrame:
-    """id, text_key (of equal texts; null for null), bands, shingles (sorted 32-bit hashes), in the partitions that docs has."""
+    """id, text_key (of equal texts; null for null), bands, n and shingles (sorted 32-bit hashes), in the partitions that docs has."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -103,13 +103,14 @@ def sketch(docs: DataFrame, key: str, text: str, bands: int, rows: int, size: in
                         ids,
                         pa.array([None if x is None else hashlib.blake2b(x.encode(), digest_size=16).digest() for x in texts], pa.binary()),
                         pa.array([keys[i] if per[i] else [] for i in range(n)], pa.list_(pa.int64())),
+                        pa.array(per, pa.int32()),
                         pa.array([np.unique(small[cut[i] : cut[i + 1]]).tobytes() for i in range(n)], pa.binary()),
                     ],
-                    names=["id", "text_key", "bands", "shingles"],
+                    names=["id", "text_key", "bands", "n", "shingles"],
                 )
 
     rows_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows_of.mapInArrow(batches, "id long, text_key binary, bands array<long>, shingles binary")
+    return rows_of.mapInArrow(batches, "id long, text_key binary, bands array<long>, n int, shingles binary")
 
 
 def link(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -178,35 +179,39 @@ def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> Data
     that part goes, in blocks of bounded size, to every chunk. So every pair of texts has been compared, or is in the
     one part anyhow.
     """
-    rows = materialise(sketches.select("id", "shingles").join(coarse.hint("merge"), "id"), "members")
-    sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    sizes = sizes.select("component", "n", F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
-    sizes = materialise(sizes, "sizes")
-    large = sizes.where("chunks > 1")
-    h = F.xxhash64("id", F.lit(17))
-    one = rows.join(sizes, "component").withColumns({"g1": F.col("component"), "g2": F.pmod(h, F.col("chunks")).cast("int"), "g3": F.lit(0)})
+    # what a component is told by goes to its texts without their shingles: its rows may be most of all
+    members = materialise(sketches.select("id", "n").join(coarse.hint("merge"), "id"), "members")
+    chunks = F.greatest(F.ceil(F.col("texts") / CHUNK_TEXTS), F.ceil(4 * F.col("total") / CHUNK_BYTES)).cast("int")
+    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("total")).withColumn("chunks", chunks)
+    placed = materialise(members.select("id", "component").distinct().join(sizes.hint("merge"), "component"), "placed")
+    rows = materialise(sketches.select("id", "n", "shingles").join(placed.hint("merge"), "id"), "placed-shingles")
+    chunk = F.pmod(F.xxhash64("id", F.lit(17)), F.col("chunks")).cast("int")
     columns = ["g1", "g2", "g3", "id", "shingles"]
-    some_large = not large.isEmpty()
-    if not some_large:
-        return components(_linked(one.select(columns), similarity))
-    hubs = rows.join(large, "component").where(F.pmod(F.xxhash64("id", F.lit(23)), F.col("n")) < HUBS)
-    spread = hubs.select(F.col("component").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g2"), F.lit(0).alias("g3"), "id", "shingles")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.select(F.col("component").alias("g1"), chunk.alias("g2"), F.lit(0).alias("g3"), "id", "shingles")
+    large = rows.where("chunks > 1")
+    if large.isEmpty():
+        return components(_linked(one, similarity))
+    hubs = large.where(F.pmod(F.xxhash64("id", F.lit(23)), F.col("texts")) < HUBS)
+    spread = hubs.select(F.col("component").alias("g1"), each("chunks").alias("g2"), F.lit(0).alias("g3"), "id", "shingles")
     # a hub is in its own chunk twice, which changes no component
-    links = materialise(_linked(one.select(columns).unionByName(spread), similarity), "links")
+    links = materialise(_linked(one.unionByName(spread), similarity), "links")
     parts = materialise(components(links), "parts")
-    of = rows.join(large, "component").join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    main = of.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    of = of.join(main, "component")
-    rest = of.where("part <> main")
-    # blocks of at most CHUNK_TEXTS texts about, of CHUNK_BYTES as chunks are
-    blocks = rest.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum(F.octet_length("shingles")) / CHUNK_BYTES)).cast("int").alias("blocks"))
-    blocks = materialise(blocks, "blocks")
-    if blocks.isEmpty():
+    of = large.select("id", "component", "n").join(parts.withColumnRenamed("component", "part").hint("merge"), "id", "left")
+    of = materialise(of.withColumn("part", F.coalesce("part", "id")), "parts-of")
+    stats = of.groupBy("component", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = stats.groupBy("component").agg(F.max(F.struct("c", "part", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    rest_texts, rest_bytes = F.col("c") - F.col("main.c"), 4 * (F.col("s") - F.col("main.s"))
+    blocks = F.greatest(F.ceil(rest_texts / CHUNK_TEXTS), F.ceil(rest_bytes / CHUNK_BYTES)).cast("int")
+    main = materialise(main.where(rest_texts > 0).select("component", F.col("main.part").alias("main"), blocks.alias("blocks")), "main-parts")
+    if main.isEmpty():
         return parts
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ours = of.join(blocks, "component").select(F.col("component").alias("g1"), F.pmod(h, F.col("chunks")).cast("int").alias("g2"), each("blocks").alias("g3"), "id", "shingles")
-    theirs = rest.join(blocks, "component").select(F.col("component").alias("g1"), each("chunks").alias("g2"), F.pmod(F.xxhash64("id", F.lit(31)), F.col("blocks")).cast("int").alias("g3"), "id", "shingles")
-    return components(links.unionByName(_linked(ours.unionByName(theirs), similarity)))
+    told = of.select("id", "component", "part").distinct().join(main.hint("merge"), "component").select("id", "blocks", (F.col("part") != F.col("main")).alias("rest"))
+    left = large.join(materialise(told, "told").hint("merge"), "id")
+    ours = left.select(F.col("component").alias("g1"), chunk.alias("g2"), each("blocks").alias("g3"), "id", "shingles")
+    block = F.pmod(F.xxhash64("id", F.lit(31)), F.col("blocks")).cast("int")
+    theirs = left.where("rest").select(F.col("component").alias("g1"), each("chunks").alias("g2"), block.alias("g3"), "id", "shingles")
+    return components(links.unionByName(_linked(ours.unionByName(theirs).select(columns), similarity)))
 
 
 def classes(
