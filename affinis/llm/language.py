@@ -78,9 +78,11 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarra
 def train(rows: np.ndarray, languages: list[str], per_language: int = 4, reject_share: float = 0.005) -> Model:
     """rows: counts; languages: of each row. A language's limit of rejection is the cosine that reject_share of its rows fall short of."""
     names = sorted(set(languages))
-    df = (rows > 0).sum(0)
+    df = sum(((rows[lo : lo + 256] > 0).sum(0) for lo in range(0, len(rows), 256)), np.zeros(DIM, np.int64))
     model = Model(names, (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(len(names)))
-    x, lang = model.vectors(rows), np.array([names.index(v) for v in languages], np.int64)
+    x, lang = np.empty(rows.shape, np.float32), np.array([names.index(v) for v in languages], np.int64)
+    for lo in range(0, len(rows), 256):  # so that few copies of so large a matrix are held at a time
+        x[lo : lo + 256] = model.vectors(rows[lo : lo + 256])
     parts = [cluster(x[lang == i], per_language) for i in range(len(names))]
     if parts:
         model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -107,9 +109,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 [pa.array([k for k, _ in kept], pa.string()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in kept], pa.binary())], names=["lang", "counts"]
             )
 
-    got = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(batches, "lang string, counts binary").collect())
-    rows = np.stack([np.frombuffer(c, np.uint16) for _, c in got]) if got else np.zeros((0, DIM), np.uint16)
-    return train(rows, [k for k, _ in got], per_language)
+    got = sorted(((r[0], r[1]) for r in chosen.mapInArrow(batches, "lang string, counts binary").collect()), key=lambda r: (r[0], bytes(r[1])))
+    rows = np.empty((len(got), DIM), np.uint16)
+    languages = [k for k, _ in got]
+    for i in range(len(got)):
+        rows[i], got[i] = np.frombuffer(got[i][1], np.uint16), None
+    return train(rows, languages, per_language)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", block: int = 64) -> DataFrame:
