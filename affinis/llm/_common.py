@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL = "/tmp/affinis-checkpoints"
+from ..plans.lineage import materialise, shared_dir
+
+__all__ = ["bounded_share", "materialise", "read", "shared_dir", "with_added"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = f"{_LOCAL}/{sc.applicationId}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        Path(own).mkdir(parents=True, exist_ok=True)
-        sc.setCheckpointDir(f"file://{own}")
-        atexit.register(shutil.rmtree, own, True)
-    return f"file://{own}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing but its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/affinis-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_added(df: DataFrame, ddl: str, names: list[str] | None = None) -> T.StructType:
     """The schema of df (or of these columns of it) and further columns."""
     return T.StructType([df.schema[c] for c in names or df.columns] + T.StructType.fromDDL(ddl).fields)
