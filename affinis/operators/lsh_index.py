@@ -114,7 +114,7 @@ def build_index(items: DataFrame, params: LshParams, key: str = "id", vec: str =
 
 
 def build_probes(queries: DataFrame, params: LshParams, t: int, key: str = "id", vec: str = "vec") -> DataFrame:
-    """(query_id, tbl, depth, bucket), depth from 0; t = 1 probes home buckets alone. Buckets reached twice are kept at their first depth."""
+    """(query_id, tbl, depth, bucket), depth from 0; t = 1 probes home buckets alone. A bucket may come at several depths."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
