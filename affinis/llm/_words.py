@@ -21,7 +21,7 @@ AS_WORDS = bytes(int(LOWER[b]) if IS_WORD[b] else 32 for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -51,9 +51,11 @@ class Words:
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each begins and ends; null is empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
     _, at, data = texts.buffers()
-    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
