@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 36 bands of 7: a pair of probability Jaccard 0.8 meets with probability 0.9998, of 0.5 with 0.25, of 0.3 with 0.01.
 BANDS, ROWS = 36, 7
 #: Texts, and bytes of shingles, that are compared in one task at a time.
-CHUNK_TEXTS, CHUNK_BYTES = 256, 4 << 20
+CHUNK_TEXTS, CHUNK_BYTES = 128, 4 << 20
 HUBS = 16
 
 
@@ -108,6 +108,8 @@ def sketch(docs: DataFrame, key: str, text: str, bands: int, rows: int, size: in
                     ],
                     names=["id", "text_key", "bands", "n", "shingles"],
                 )
+            del b
+            pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows_of.mapInArrow(batches, "id long, text_key binary, bands array<long>, n int, shingles binary")
