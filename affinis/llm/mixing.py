@@ -78,8 +78,9 @@ def mix(
 
     docs: doc_id, text, source and any other columns, which pass through. weights: source -> target weight; by default
     each source's share of characters to the power alpha (under 1: large sources give way to small ones). The mixture
-    has as many slots as ``fraction`` times the blocks there are; in_mix marks rows whose block has one of them. Slots
-    of a source that has run dry stay vacant, what a source has beyond its slots stays out; no other row is left out.
+    has as many slots as ``fraction`` times the blocks there are; in_mix marks the blocks that a source's weight promises
+    it of these: rounded up, one at least, also if the last of them is only due behind the end. Slots of a source that
+    has run dry stay vacant, what a source has beyond its promised blocks stays out; no other row is left out.
     A null source is a source of its own (named by the empty string in weights); null and empty texts have length 0
     and belong to the block where they stand; a text longer than a block belongs to the block where it begins and the
     blocks that it covers stay without other rows. Repeated rows are kept, each with a place of its own; columns
@@ -113,6 +114,6 @@ def mix(
         .join(F.broadcast(plan), "__key", "left")
         .withColumn("block", F.expr(f"(__base + __before) DIV {block_chars}"))
         .withColumn("slot", F.expr(f"(block DIV __a) * {frame} + __slots[cast(block % __a AS int)]"))
-        .withColumn("in_mix", F.coalesce(F.col("slot") < F.lit(length), F.lit(False)))
+        .withColumn("in_mix", F.expr(f"__a IS NOT NULL AND block < greatest(1L, (__a * {length}L + {frame - 1}L) DIV {frame})"))
         .select(*[c for c in docs.columns if c not in ("block", "slot", "in_mix")], "block", "slot", "in_mix")
     )

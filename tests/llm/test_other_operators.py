@@ -161,6 +161,17 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_keeps_sources_smaller_than_a_block(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 12}", "x" * 1000) for i in range(2400)] + [(9999, "tiny", "x" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for kw in ({}, {"block_chars": 4000}, {"block_chars": 4000, "fraction": 0.5}):  # the frame is the one in use
+        got = mixing.mix(df, **kw).collect()
+        first = [r for r in got if r["source"] != "hot" and r["block"] == 0]
+        assert {r["source"] for r in first} == {"s0", "s3", "s6", "s9", "tiny"} and all(r["in_mix"] for r in first)
+    got = mixing.mix(df, block_chars=4000).collect()
+    assert all(r["in_mix"] for r in got if r["source"] != "hot")
+
+
 # ---- chat
 
 
