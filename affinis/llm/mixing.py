@@ -69,7 +69,7 @@ def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
     alpha: float = 0.8,
-    fraction: float = 1.0,
+    fraction: float | None = 1.0,
     block_chars: int = BLOCK_CHARS,
     frame: int = FRAME,
     seed: int = 11,
@@ -80,7 +80,8 @@ def mix(
     each source's share of characters to the power alpha (under 1: large sources give way to small ones). The mixture
     has as many slots as ``fraction`` times the blocks there are; in_mix marks the blocks that a source's weight promises
     it of these: rounded up, one at least, also if the last of them is only due behind the end. Slots of a source that
-    has run dry stay vacant, what a source has beyond its promised blocks stays out; no other row is left out.
+    has run dry stay vacant, what a source has beyond its promised blocks stays out; no other row is left out. With a
+    fraction of None nothing of a source with a weight stays out: what is beyond comes at its later slots.
     A null source is a source of its own (named by the empty string in weights); null and empty texts have length 0
     and belong to the block where they stand; a text longer than a block belongs to the block where it begins and the
     blocks that it covers stay without other rows. Repeated rows are kept, each with a place of its own; columns
@@ -104,8 +105,11 @@ def mix(
     )
     supply = totals.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("total"))
     plan = schedule(supply, weights, alpha, frame).withColumnsRenamed({"key": "__key", "a": "__a", "slots": "__slots"})
-    blocks = supply.select(F.greatest(F.lit(1), F.ceil(F.col("total") / block_chars)).alias("b")).agg(F.sum("b")).first()[0] or 0
-    length = int(-(-blocks * fraction // 1))
+    promised = F.col("__a").isNotNull()
+    if fraction is not None:
+        blocks = supply.select(F.greatest(F.lit(1), F.ceil(F.col("total") / block_chars)).alias("b")).agg(F.sum("b")).first()[0] or 0
+        length = int(-(-blocks * fraction // 1))
+        promised &= F.expr(f"block < greatest(1L, (__a * {length}L + {frame - 1}L) DIV {frame})")
     within = Window.partitionBy("__key", "__bucket").orderBy("__h", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     # plan has at most MAX_SOURCES rows and ``frame`` integers in all
     return (
@@ -114,6 +118,6 @@ def mix(
         .join(F.broadcast(plan), "__key", "left")
         .withColumn("block", F.expr(f"(__base + __before) DIV {block_chars}"))
         .withColumn("slot", F.expr(f"(block DIV __a) * {frame} + __slots[cast(block % __a AS int)]"))
-        .withColumn("in_mix", F.expr(f"__a IS NOT NULL AND block < greatest(1L, (__a * {length}L + {frame - 1}L) DIV {frame})"))
+        .withColumn("in_mix", promised)
         .select(*[c for c in docs.columns if c not in ("block", "slot", "in_mix")], "block", "slot", "in_mix")
     )

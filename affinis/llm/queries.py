@@ -69,7 +69,7 @@ def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "in_mix")
+    return mixing.mix(docs, fraction=None).select("doc_id", "source", "block", "slot", "in_mix")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,17 @@ def test_mix_keeps_sources_smaller_than_a_block(spark):
     assert all(r["in_mix"] for r in got if r["source"] != "hot")
 
 
+def test_pipeline_mixes_without_loss(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 20}", "x" * 60_000) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.source_mix(spark, df, SF).collect()) == list(range(600))
+    got = mixing.mix(df, fraction=None).collect()
+    assert all(r["in_mix"] for r in got) and len({(r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
+    assert sum(not r["in_mix"] for r in mixing.mix(df).collect()) > 20  # a fraction asked for cuts
+    only = mixing.mix(df, weights={"s1": 1.0}, fraction=None).collect()
+    assert all(r["in_mix"] == (r["source"] == "s1") for r in only)
+
+
 # ---- chat
 
 
