@@ -1,4 +1,4 @@
-"""Near-duplicate texts: ProbMinHash signatures of weighted word shingles, banding, exact verification, classes.
+"""Near-duplicate texts: ProbMinHash signatures of word shingles, banding, exact verification, classes.
 
 ProbMinHash: each shingle is a Poisson process whose rate is its weight; every arrival falls on a random component, and
 a component keeps the shingle that arrives there first. Arrivals are made in order of time, and no more of them once
@@ -23,7 +23,7 @@ from ._words import mix64, shingles, words
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 36 bands of 7: a pair of probability Jaccard 0.8 meets with probability 0.9998, of 0.5 with 0.25, of 0.3 with 0.01.
+#: 36 bands of 7: a pair of Jaccard similarity 0.8 meets with probability 0.9998, of 0.5 with 0.25, of 0.3 with 0.01.
 BANDS, ROWS = 36, 7
 #: Texts, and bytes of shingles, that are compared in one task at a time.
 CHUNK_TEXTS, CHUNK_BYTES = 128, 4 << 20
@@ -217,14 +217,15 @@ def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> Data
 
 
 def classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, tf: bool = True
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, tf: bool = False
 ) -> DataFrame:
     """One row per row of docs: key, class_id, kept.
 
     Two texts are linked if they are equal, or if the sets of their shingles (runs of ``shingle`` words; a text with
     fewer words is one shingle) have a Jaccard similarity of ``similarity`` or more; a class is what links connect,
-    class_id its smallest key, kept whether the row has that key. Signatures weigh a shingle by one plus the logarithm
-    of how often it occurs (tf) or all alike. Shingles are compared by hashes of 32 bits. Texts without a word are
+    class_id its smallest key, kept whether the row has that key. Signatures weigh all shingles alike, as the link rule
+    does; with tf by one plus the logarithm of how often one occurs, which loses links of texts that repeat a passage
+    unequally often. Shingles are compared by hashes of 32 bits. Texts without a word are
     linked to equal ones alone; a null text is a class of its own. Rows that repeat a key are one document. Rows with a
     null key have the class of texts equal to theirs, null if there are none. key must be an integer; only key and text are read.
     """

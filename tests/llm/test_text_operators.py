@@ -2,7 +2,7 @@
 
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -153,6 +153,20 @@ def test_near_duplicates(spark, monkeypatch, chunk, tf):
     assert all(r["kept"] == (r["class_id"] == r["doc_id"]) for r in rows)
 
 
+def test_near_duplicates_with_a_passage_repeated(spark):
+    """One of two copies repeats a passage; the sets of shingles stay alike."""
+    rnd = random.Random(5)
+    texts = []
+    for long, times in product((12, 30, 60), (20, 60, 100, 200)):
+        for _ in range(4):
+            base, passage = prose(rnd, 60), prose(rnd, long)
+            texts += [f"{base} {passage}", f"{base} " + " ".join([passage] * times)]
+    want = similarity_classes(texts)
+    assert want[1::2] == want[::2]
+    rows = near_dup.classes(docs_of(spark, texts)).collect()
+    assert [r["class_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (None, None), (7, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in near_dup.classes(rows).collect()), key=repr)
