@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise
+from .components import components
 
 
 def neighbour_lists(hits: DataFrame, cutoff: float | None = None) -> DataFrame:
@@ -24,22 +24,9 @@ def shared_neighbours(lists: DataFrame, mutual: bool = True) -> DataFrame:
 
 
 def connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, cluster_id: the smallest id of the component; ids without an edge are their own. edges: a, b.
-
-    Each round a node takes the smallest label among its neighbours, then the label of that label; tables are written
-    between rounds.
-    """
-    both = materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "arcs")
-    labels = materialise(ids.select("id", F.col("id").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
-        step = materialise(step, "step")
-        jump = step.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        after = materialise(step.join(jump, "to", "left").select("id", "label", F.least("to", F.coalesce("further", "to")).alias("new")), "labels")
-        labels = after.select("id", F.col("new").alias("label"))
-        if after.where("label <> new").isEmpty():
-            return labels.select("id", F.col("label").alias("cluster_id"))
+    """id, cluster_id: the smallest id of the component; ids without an edge are their own. edges: a, b."""
+    found = components(edges.select("a", "b")).withColumnRenamed("component", "cluster_id")
+    return ids.select("id").join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 
 def jarvis_patrick(lists: DataFrame, min_shared: int, mutual: bool = True, linkage: str = "single") -> DataFrame:
