@@ -1,20 +1,45 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, bounded samples."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, bounded samples, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import materialise, shared_dir
+from ..plans.lineage import discard, fresh, materialise, settled
+
+__all__ = ["bounded_share", "discard", "fresh", "give_back", "materialise", "read", "settled", "small_batches", "with_added"]
 
-__all__ = ["bounded_share", "materialise", "read", "shared_dir", "with_added"]
+#: Rows, and bytes, of texts that go to a worker at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: bound the Arrow batches of this session, where they have no lower bound yet."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D.*", "", spark.conf.get(name).lstrip("-")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """At the end of a task: the worker goes on to others, so it returns the memory that it no longer needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def with_added(df: DataFrame, ddl: str, names: list[str] | None = None) -> T.StructType:
     """The schema of df (or of these columns of it) and further columns."""
     return T.StructType([df.schema[c] for c in names or df.columns] + T.StructType.fromDDL(ddl).fields)

@@ -1,22 +1,14 @@
-"""Byte-pair identifiers of texts, with a memory of runs between single spaces.
-
-No piece of the splitting pattern goes on past a character before a space, so a text may be cut before every space that
-stands between two characters that are not white space; each cut part is encoded once and remembered.
-"""
+"""Byte-pair identifiers of texts as 16-bit numbers, by the library for the vocabulary file."""
 
 from __future__ import annotations
 
 import base64
-import re
 import sys
-from array import array
+
+import numpy as np
 
 RANKS = "byte_bpe_50k.tiktoken"
 END = 50256
-#: About 75 MB; it stays with a worker that goes on to other tasks.
-REMEMBER = 400_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class Encoder:
@@ -29,34 +21,17 @@ class Encoder:
             raise OSError("identifiers are written as they stand in memory, which must be little-endian")
         if max(ranks.values()) >= END:
             raise ValueError("identifiers must leave room for the end mark in 16 bits")
-        self.encode = tiktoken.Encoding("affinis", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-
-    def fresh(self, text: str) -> bytes:
-        return array("H", self.encode(text)).tobytes()
-
-    def part(self, text: str) -> bytes:
-        got = self.fresh(text)
-        if len(text) <= 24 and "\n" not in text:  # what is likely to come again
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            self.known[text[1:]] = got
-        return got
+        self.library = tiktoken.Encoding("affinis", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, text: str) -> bytes:
-        """16-bit little-endian identifiers."""
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _OTHER_SPACES):
-            first, *rest = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-        get, part = self.known.get, self.part  # known by what follows the space
-        return self.fresh(first) + b"".join([get(w) or part(f" {w}") for w in rest])
+    def __call__(self, text: str) -> np.ndarray:
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
 
 
 _LOADED: dict[str, Encoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
+    """One for each worker and file; it remembers no texts."""
     if path is None or path not in _LOADED:
         import public_tokenizers
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import give_back, small_batches
+
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Entries that a worker remembers; beyond, it starts anew (about 100 bytes each).
@@ -133,6 +135,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     keys stay. Only key and text are read, so further columns may have any name. model: the path of the vocabulary
     file on the workers.
     """
+    small_batches(docs.sparkSession)
     if model is None:
         import public_tokenizers
 
@@ -144,6 +147,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([count(x.as_py()) for x in b.column(2)], pa.int64())], names=["key", "n_bytes", "n_tokens"]
             )
+        give_back()
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

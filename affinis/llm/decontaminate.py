@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import with_added
+from ._common import give_back, small_batches, with_added
 from ._words import AS_WORDS
 
 WINDOW = 13
@@ -108,6 +108,7 @@ def _pass(docs: DataFrame, text: str, items: list[tuple[int, str]], window: int,
             if last:
                 made.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(batches, schema)
 
@@ -123,6 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     stay; columns of docs with the names of added ones are replaced. Texts of any length are scanned whole. Items go to
     the workers with their code, ITEM_CHARS of them at most for each automaton.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_hit", "contaminated", "spans", *_ADDED)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     parts = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))

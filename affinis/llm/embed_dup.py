@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ._common import bounded_share, materialise
-from .components import components
 
 COSINE = 0.95
 #: Rows that pivots are chosen from, rows of a cell aimed at, pivots at most.

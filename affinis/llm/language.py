@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_share, with_added
+from ._common import bounded_share, give_back, small_batches, with_added
 
 DIM = 1 << 13
 #: Rows that a model is fitted on, over all languages, about.
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     Rows without a language or without a letter are left out. The n-gram counts of the chosen rows come to the driver.
     At most MAX_LANGUAGES languages.
     """
+    small_batches(docs.sparkSession)
     named = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     n = named.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if n > MAX_LANGUAGES:
@@ -125,6 +126,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", block: int = 64)
     language's own texts are. Whole texts count. Repeated rows stay; columns of docs with the names of added ones are
     replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     place = docs.columns.index(text)
     schema = with_added(docs, "lang_pred string, score double, rejected boolean")
@@ -141,5 +143,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", block: int = 64)
                         own = int(model.owner[j])
                         lang[lo + i], score[lo + i], out[lo + i] = model.languages[own], min(max(c, 0.0), 1.0), bool(c < model.least[own])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(batches, schema)

@@ -15,19 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ..operators.components import components
+from ._common import discard, give_back, materialise, settled, small_batches
 from ._words import mix64, shingles, words
-from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 36 bands of 7: a pair of Jaccard similarity 0.8 meets with probability 0.9998, of 0.5 with 0.25, of 0.3 with 0.01.
 BANDS, ROWS = 36, 7
 #: Texts, and bytes of shingles, that are compared in one task at a time.
-CHUNK_TEXTS, CHUNK_BYTES = 128, 4 << 20
+CHUNK_TEXTS, CHUNK_BYTES = 256, 4 << 20
 HUBS = 16
+#: Cells that shingles are counted in, to tell the rare from the common.
+CELL_BITS = 18
 
 
 def signatures(h: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int, k: int, block: int) -> np.ndarray:
@@ -109,7 +111,7 @@ def sketch(docs: DataFrame, key: str, text: str, bands: int, rows: int, size: in
                     names=["id", "text_key", "bands", "n", "shingles"],
                 )
             del b
-            pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        give_back()
 
     rows_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows_of.mapInArrow(batches, "id long, text_key binary, bands array<long>, n int, shingles binary")
@@ -173,47 +175,102 @@ def _linked(groups: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(batches, "a long, b long")
 
 
+def _blocks(texts: Column, shingles: Column) -> Column:
+    """How many blocks of bounded size so many texts with so many shingles in all make."""
+    return F.greatest(F.ceil(texts / CHUNK_TEXTS), F.ceil(4 * shingles / CHUNK_BYTES)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _rare(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows(component, id, part, n, shingles) -> (component, id, part, n, token): the rarest shingles of each row.
+
+    Two sets of similarity s, both in one order, share one of the first n - ceil(s * n) + 1 of each. The order is by
+    counts over all rows in a fixed number of cells, so that what many texts hold (boilerplate) comes last.
+    """
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for b in it:
+            every = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+            total += np.bincount(every >> np.uint32(32 - CELL_BITS), minlength=1 << CELL_BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
+
+    cells = rows.select("shingles").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << CELL_BITS, np.int64)  # one number for each cell, whatever the number of texts
+    common[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+
+    def rarest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            taken = []
+            for x in b.column(4):
+                s = np.frombuffer(x.as_py(), np.uint32)
+                order = np.lexsort((s, common[s >> np.uint32(32 - CELL_BITS)]))
+                taken.append(s[order[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]])
+            again = pa.array(np.repeat(np.arange(b.num_rows), [len(t) for t in taken]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(again) for i in range(4)), pa.array(np.concatenate(taken).astype(np.int64))], names=["component", "id", "part", "n", "token"])
+
+    return rows.select("component", "id", "part", "n", "shingles").mapInArrow(rarest, "component long, id long, part long, n int, token long")
+
+
 def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(id, component): connected components of the links among the texts of each coarse component.
 
     A coarse component is cut into chunks of bounded size and each chunk's links are found exactly. Of a component of
-    several chunks, some texts (hubs) go to every chunk, which ties most of it into one part; then each text outside
-    that part goes, in blocks of bounded size, to every chunk. So every pair of texts has been compared, or is in the
-    one part anyhow.
+    several chunks, some texts (hubs) go to every chunk, which ties most copies into parts; then texts of different
+    parts meet in groups that share one of their rarest shingles, as any two that are linked do (see _rare). So each
+    pair of texts has been compared, is in one part anyhow, or can't be linked. Groups are cut into blocks in the same
+    way: each text outside a group's largest part goes to all of its chunks, none of that part meets another of it.
     """
     # what a component is told by goes to its texts without their shingles: its rows may be most of all
     members = materialise(sketches.select("id", "n").join(coarse.hint("merge"), "id"), "members")
-    chunks = F.greatest(F.ceil(F.col("texts") / CHUNK_TEXTS), F.ceil(4 * F.col("total") / CHUNK_BYTES)).cast("int")
-    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("total")).withColumn("chunks", chunks)
+    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("total"))
+    sizes = sizes.select("component", "texts", _blocks(F.col("texts"), F.col("total")).alias("chunks"))
     placed = materialise(members.select("id", "component").distinct().join(sizes.hint("merge"), "component"), "placed")
     rows = materialise(sketches.select("id", "n", "shingles").join(placed.hint("merge"), "id"), "placed-shingles")
+    discard(members, placed)
     chunk = F.pmod(F.xxhash64("id", F.lit(17)), F.col("chunks")).cast("int")
     columns = ["g1", "g2", "g3", "id", "shingles"]
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = rows.select(F.col("component").alias("g1"), chunk.alias("g2"), F.lit(0).alias("g3"), "id", "shingles")
     large = rows.where("chunks > 1")
     if large.isEmpty():
         return components(_linked(one, similarity))
     hubs = large.where(F.pmod(F.xxhash64("id", F.lit(23)), F.col("texts")) < HUBS)
-    spread = hubs.select(F.col("component").alias("g1"), each("chunks").alias("g2"), F.lit(0).alias("g3"), "id", "shingles")
+    spread = hubs.select(F.col("component").alias("g1"), _each("chunks").alias("g2"), F.lit(0).alias("g3"), "id", "shingles")
     # a hub is in its own chunk twice, which changes no component
     links = materialise(_linked(one.unionByName(spread), similarity), "links")
     parts = materialise(components(links), "parts")
-    of = large.select("id", "component", "n").join(parts.withColumnRenamed("component", "part").hint("merge"), "id", "left")
-    of = materialise(of.withColumn("part", F.coalesce("part", "id")), "parts-of")
-    stats = of.groupBy("component", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    main = stats.groupBy("component").agg(F.max(F.struct("c", "part", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-    rest_texts, rest_bytes = F.col("c") - F.col("main.c"), 4 * (F.col("s") - F.col("main.s"))
-    blocks = F.greatest(F.ceil(rest_texts / CHUNK_TEXTS), F.ceil(rest_bytes / CHUNK_BYTES)).cast("int")
-    main = materialise(main.where(rest_texts > 0).select("component", F.col("main.part").alias("main"), blocks.alias("blocks")), "main-parts")
-    if main.isEmpty():
+    left = large.select("component", "id", "n", "shingles").join(parts.withColumnRenamed("component", "part").hint("merge"), "id", "left")
+    left = materialise(left.withColumn("part", F.coalesce("part", "id")), "parts-of")
+    tokens = materialise(_rare(left, similarity), "rare")
+    by_token = tokens.groupBy("component", "token").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("total"), F.sum(F.xxhash64("id", F.lit(37)).cast("decimal(20,0)")).alias("who")
+    )
+    # tokens of the same texts make one group
+    groups = by_token.where("low < high").groupBy("component", "texts", "total", "who").agg(F.min("token").alias("token"))
+    groups = materialise(groups.select("component", "token", "texts", "total"), "groups")
+    if groups.isEmpty():
         return parts
-    told = of.select("id", "component", "part").distinct().join(main.hint("merge"), "component").select("id", "blocks", (F.col("part") != F.col("main")).alias("rest"))
-    left = large.join(materialise(told, "told").hint("merge"), "id")
-    ours = left.select(F.col("component").alias("g1"), chunk.alias("g2"), each("blocks").alias("g3"), "id", "shingles")
+    met = materialise(tokens.join(groups.hint("merge"), ["component", "token"]), "met")
+    sums = met.groupBy("component", "token", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.first("texts").alias("texts"), F.first("total").alias("total"))
+    main = sums.groupBy("component", "token").agg(F.max(F.struct("c", "part", "s")).alias("main"), F.first("texts").alias("texts"), F.first("total").alias("total"))
+    main = main.select(
+        "component", "token", F.col("main.part").alias("main"), _blocks(F.col("texts"), F.col("total")).alias("chunks"),
+        _blocks(F.col("texts") - F.col("main.c"), F.col("total") - F.col("main.s")).alias("blocks"),
+    )
+    told = met.select("component", "token", "id", "part").join(main.hint("merge"), ["component", "token"])
+    told = materialise(told.select("id", F.xxhash64("component", "token").alias("g1"), "chunks", "blocks", (F.col("part") != F.col("main")).alias("rest")), "told")
+    discard(tokens, groups, met)
+    again = told.join(left.select("id", "shingles").hint("merge"), "id")
+    ours = again.select("g1", chunk.alias("g2"), _each("blocks").alias("g3"), "id", "shingles")
     block = F.pmod(F.xxhash64("id", F.lit(31)), F.col("blocks")).cast("int")
-    theirs = left.where("rest").select(F.col("component").alias("g1"), each("chunks").alias("g2"), block.alias("g3"), "id", "shingles")
-    return components(links.unionByName(_linked(ours.unionByName(theirs).select(columns), similarity)))
+    theirs = again.where("rest AND chunks * blocks > 1").select("g1", _each("chunks").alias("g2"), block.alias("g3"), "id", "shingles")
+    out = components(links.unionByName(_linked(ours.unionByName(theirs).select(columns), similarity)))
+    discard(links, parts, left, told, rows)
+    return out
 
 
 def classes(
@@ -229,15 +286,23 @@ def classes(
     linked to equal ones alone; a null text is a class of its own. Rows that repeat a key are one document. Rows with a
     null key have the class of texts equal to theirs, null if there are none. key must be an integer; only key and text are read.
     """
+    small_batches(docs.sparkSession)
     # the joins of what grows with the texts are sort-merge joins at every size, never broadcasts
     made = materialise(sketch(docs, key, text, bands, rows, shingle, tf), "sketches")
     equal = made.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"))
     equal = materialise(equal, "equal-texts")
     reps = made.where("size(bands) > 0").join(equal.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("bucket", "hub")
-    coarse = components(buckets.join(hubs.hint("merge"), "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    found = _verified(coarse, reps, similarity).select(F.col("id").alias("rep"), "component")
-    out = made.select("id", "text_key").join(equal.hint("merge"), "text_key", "left").join(found.hint("merge"), "rep", "left")
-    out = out.select(F.col("id").alias(key), F.coalesce("component", "rep", "id").alias("class_id"))
+
+    def found() -> DataFrame:
+        buckets = reps.select("id", F.explode("bands").alias("bucket"))
+        hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("bucket", "hub")
+        coarse = components(buckets.join(hubs.hint("merge"), "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        return _verified(coarse, reps, similarity).select(F.col("id").alias("rep"), "component")
+
+    def whole() -> DataFrame:
+        out = made.select("id", "text_key").join(equal.hint("merge"), "text_key", "left").join(settled(found, "found").hint("merge"), "rep", "left")
+        return out.select(F.col("id").alias(key), F.coalesce("component", "rep", "id").alias("class_id"))
+
+    out = settled(whole, "classes")
+    discard(made, equal)
     return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col(key), F.lit(True)))

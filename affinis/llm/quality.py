@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_share, with_added
+from ._common import bounded_share, give_back, small_batches, with_added
 from ._words import buffers
 
 BITS = 17
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     the driver. A key labelled more than once takes the majority; null labels and keys, and labels without a text, are
     left out.
     """
+    small_batches(docs.sparkSession)
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key"))
     one = one.agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
     counts = {r[0]: r[1] for r in one.groupBy("__label").count().collect()}
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             data, at = buffers(b.column(1))
             rows = [grams(data[at[i] : at[i + 1]]).astype(np.uint32).tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["key", "label", "grams"])
+        give_back()
 
     kind = found.schema["__key"].dataType.simpleString()
     got = sorted(found.mapInArrow(batches, f"key {kind}, label int, grams binary").collect(), key=lambda r: (r[0], r[2]))
@@ -166,6 +168,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     Nothing is shuffled. Whole texts count, whatever their length; a null or empty text has no n-grams and gets the
     score of the model's bias. Repeated rows stay, and columns of docs with the names of added ones are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = [*docs.columns, "score"]
     place = docs.columns.index(text)
@@ -176,6 +179,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             data, at = buffers(b.column(place))
             scores = [model.score(grams(data[at[i] : at[i + 1]])) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=names)
+        give_back()
 
     out = docs.mapInArrow(batches, with_added(docs, "score double"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,19 +1,22 @@
 """Token identifiers in training order: packed sequences, a keyed Feistel permutation, shards of fixed stride.
 
-Identifiers of all texts of a partition, each text followed by an end mark, are cut into sequences of ``length``; the
-sequences are numbered over all partitions. A Feistel network over the next even number of bits, walked until it falls
-below the number of sequences, permutes the numbers: sequence i has slot permute(i). Shard s holds slots s * per_shard
-and on, in order, so a reader that knows a slot knows its file and offset, and resumes anywhere.
-
-A record is 4 bytes n_tokens, 8 bytes the doc_id that its first token comes from (both little-endian), 2 * length
-bytes of identifiers (16-bit little-endian, the end mark after the last), and a line feed.
+Identifiers of all texts of a partition, each text followed by an end mark, are cut into sequences of ``length``.
+Sequence i of partition p has the number p * SPAN + i; a Feistel network over the next even number of bits, walked until
+it falls below partitions * SPAN, permutes these numbers, so that every text is encoded once: no count of sequences is
+needed before they are dealt out. Shards are ranges of the permuted numbers, in order; a sequence's slot is how many
+come before it, which the sizes of the files before its own tell. So a reader that knows a slot knows its file and
+offset, and resumes anywhere.
+
+A record is 4 bytes n_tokens, 2 bytes n_docs, 2 bytes whether it begins inside a text, 8 bytes its number; DOCS times 8
+bytes of doc_id, DOCS times 2 bytes of where that document begins; 2 * length bytes of identifiers, the end mark after
+the last; a line feed. Numbers are little-endian.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, shared_dir
+from ._common import discard, fresh, give_back, materialise, small_batches
 from ._encode import END, encoder
 from ._words import mix64
 
 LENGTH, PER_SHARD, KEY = 2048, 4096, 0x5EED
+#: Documents that a sequence may hold parts of; one with as many is closed before the next, however short.
+DOCS = 24
 ROUNDS = 6
-HEAD = 12
-MAX_PARTITIONS = 1 << 20
+HEAD, HEAD_BYTES = "<iHHq", 16
+#: Sequences of one partition, at most.
+SPAN = 1 << 32
+#: Bytes of text for each token that the number of shards is reckoned by.
+TOKEN_BYTES = 3
+RECORDS = 256
 
 
 def _keys(key: int) -> np.ndarray:
@@ -57,122 +66,165 @@ def permute(x: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.nda
 
 
 def stride(length: int) -> int:
-    return HEAD + 2 * length + 1
-
-
-def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None, fixed: bool = False) -> int:
-    """Write docs (doc_id, text) to the folder path as shards; returns the number of sequences.
-
-    docs is read twice, to count and to write, and must give the same rows in the same partitions both times, also
-    after a lost executor: pass fixed=True for a plain scan of files, else it is written to the shared folder first. A
-    partition that counts differently the second time fails the run. A null or empty text gives no sequence part; a
-    text of any length is written whole. A null doc_id is written as -1. The last sequence of a partition may be
-    shorter. Repeated rows are written as often as they occur; other columns are not read. No tokens: no shards. Only
-    the tokens' records are shuffled, once, straight to their shard; files are committed by Spark's writer.
+    return HEAD_BYTES + 10 * DOCS + 2 * length + 1
+
+
+class Packer:
+    """Cuts the tokens of texts in turn into records."""
+
+    def __init__(self, length: int, first: int) -> None:
+        self.length, self.number = length, first
+        self.rows = np.zeros((RECORDS, stride(length) - 1), np.uint8)
+        self.made = 0
+        self.open()
+
+    def open(self) -> None:
+        self.tokens = np.full(self.length, END, "<u2")
+        self.filled, self.inside, self.ids, self.starts = 0, 0, [], []
+
+    def close(self) -> None:
+        n, row = len(self.ids), self.rows[self.made]
+        row[: HEAD_BYTES] = np.frombuffer(struct.pack(HEAD, self.filled, n, self.inside, self.number), np.uint8)
+        docs = np.zeros(DOCS, "<i8"), np.zeros(DOCS, "<u2")
+        docs[0][:n], docs[1][:n] = self.ids, self.starts
+        at = HEAD_BYTES
+        for part in (*docs, self.tokens):
+            row[at : at + part.nbytes] = part.view(np.uint8)
+            at += part.nbytes
+        self.made, self.number = self.made + 1, self.number + 1
+        self.open()
+
+    def add(self, doc: int, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers, records) whenever there are RECORDS of them."""
+        at = 0
+        while at < len(tokens):
+            if len(self.ids) == DOCS:
+                self.close()
+                if self.made == RECORDS:
+                    yield self.take()
+            n = min(self.length - self.filled, len(tokens) - at)
+            self.inside = self.inside or int(at > 0)
+            self.ids.append(doc)
+            self.starts.append(self.filled)
+            self.tokens[self.filled : self.filled + n] = tokens[at : at + n]
+            self.filled, at = self.filled + n, at + n
+            if self.filled == self.length:
+                self.close()
+                if self.made == RECORDS:
+                    yield self.take()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        n, self.made = self.made, 0
+        return np.arange(self.number - n, self.number), self.rows[:n]
+
+
+def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None, fixed: bool = False) -> None:
+    """Write docs (doc_id, text) to the folder path as shards.
+
+    docs must give the same rows in the same partitions if a task is run again after a lost executor: pass fixed=True
+    for a plain scan of files, else it is written to the shared folder first. A null or empty text gives no part of a
+    sequence; a text of any length is written whole. A null doc_id is written as -1. The last sequence of a partition
+    may be shorter, and so is one that ends because it holds DOCS documents. Repeated rows are written as often as they
+    occur; other columns are not read. No tokens: no records. Only the records are shuffled, once, straight to their
+    shard. A shard has about per_shard records at TOKEN_BYTES bytes of text for a token; the ranges are equal, so that
+    the numbers of records differ by about their square root. Files are committed by Spark's text writer, which gets
+    the bytes by a cast to string that doesn't check them, and ends each record with the line feed; a file whose size
+    is not a multiple of the stride fails the reading.
     """
-    if not fixed:
-        docs = materialise(docs.select("doc_id", "text"), "texts")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-
-    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = encoder(ranks), 0
-        for b in it:
-            n += sum(len(encode(x)) // 2 + 1 for x in b.column(1).to_pylist() if x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    parts = sorted(rows.mapInArrow(counted, "part int, n long").limit(MAX_PARTITIONS + 1).collect())
-    if len(parts) > MAX_PARTITIONS:
-        raise ValueError(f"more than {MAX_PARTITIONS} partitions")
-    begins, total = {}, 0
-    for part, n in parts:
-        begins[part] = (total, n)
-        total += -(-n // length)
-    if not total:
-        return 0
+    if not fixed:
+        rows = materialise(rows, "texts")
+    texts, size = rows.agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-(size // TOKEN_BYTES + texts) // (length * per_shard)))
+    partitions = max(1, rows.rdd.getNumPartitions())
+    domain = partitions * SPAN
+    width = -(-domain // shards)
 
     def records(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks)
-        begin, expected = begins.get(TaskContext.get().partitionId(), (0, 0))
-        pending, first, made, seen = bytearray(), -1, [], 0
-        mark, size, at = END.to_bytes(2, "little"), 2 * length, begin
-
-        def batch() -> pa.RecordBatch:
-            nonlocal made, at
-            slots = permute(np.arange(at, at + len(made)), total, key)
-            at, out = at + len(made), made
-            made = []
-            return pa.RecordBatch.from_arrays([pa.array(slots // per_shard, pa.int32()), pa.array(slots, pa.int64()), pa.array(out, pa.binary())], names=["shard", "slot", "record"])
+        encode, part = encoder(ranks), TaskContext.get().partitionId()
+        if part >= partitions:
+            raise RuntimeError("docs has more partitions than before")
+        packer, end = Packer(length, part * SPAN), np.array([END], np.uint16)
+
+        def batch(numbers: np.ndarray, made: np.ndarray) -> pa.RecordBatch:
+            if numbers[-1] >= (part + 1) * SPAN:
+                raise RuntimeError("a partition has too many sequences")
+            places = permute(numbers, domain, key)
+            ends = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
+            data = pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(ends), pa.py_buffer(made.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array((places // width).astype(np.int32)), pa.array(places), data], names=["shard", "place", "record"])
 
         for b in it:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                doc = -1 if doc is None else doc
-                if not pending:
-                    first = doc
-                pending += encode(text)
-                pending += mark
-                lo = 0
-                while len(pending) - lo >= size:
-                    made.append(struct.pack("<iq", length, first) + pending[lo : lo + size])
-                    lo, first, seen = lo + size, doc, seen + length
-                    if len(made) == 512:
-                        yield batch()
-                if lo:
-                    del pending[:lo]
-        if pending:
-            seen += len(pending) // 2
-            made.append(struct.pack("<iq", len(pending) // 2, first) + pending + mark * ((size - len(pending)) // 2))
-        if seen != expected:
-            raise RuntimeError(f"docs changed between two reads: {expected} tokens, then {seen}")
-        if made:
-            yield batch()
-
-    out = rows.mapInArrow(records, "shard int, slot long, record binary")
-    out = out.repartitionById(-(-total // per_shard), F.col("shard")).sortWithinPartitions("slot")
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if text := text.as_py():
+                    for made in packer.add(-1 if doc is None else doc, np.concatenate([encode(text), end])):
+                        yield batch(*made)
+        if packer.filled:
+            packer.close()
+        if packer.made:
+            yield batch(*packer.take())
+        give_back()
+
+    out = rows.mapInArrow(records, "shard int, place long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
     out.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path)
-    return total
+    discard(rows)
+
+
+def _shard(path: str) -> int:
+    return int(re.search(r"part-(\d+)", path.rsplit("/", 1)[1])[1])
 
 
-def read_shards(spark: SparkSession, path: str, total: int, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """One row per record of the shards: slot, seq_id, shard, byte_offset, n_tokens, first_doc_id, tokens (binary).
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH, tokens: bool = True) -> DataFrame:
+    """One row per record of the shards: slot, seq_id, shard, byte_offset, n_tokens, continues, doc_ids, doc_starts, tokens (binary).
 
-    A shard is read by one task; its size is stride(length) * per_shard bytes at most.
+    seq_id is the number before the permutation, continues tells that the first document began in the sequence before,
+    doc_ids and doc_starts are the documents and their first tokens here. With tokens=False their digest (sha256) stands
+    in their place. The driver learns the size of each file; a file is read by one task.
     """
-    schema = "slot long, seq_id long, shard int, byte_offset long, n_tokens int, first_doc_id long, tokens binary"
-    if not total:
-        return spark.createDataFrame([], schema)
     step = stride(length)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    sizes = sorted((_shard(p), n) for p, n in files.select("path", "length").collect())
+    if odd := [n for _, n in sizes if n % step]:
+        raise ValueError(f"{len(odd)} shards have a size that is not a multiple of {step}")
+    base = dict(zip([s for s, _ in sizes], np.cumsum([0] + [n // step for _, n in sizes]).tolist(), strict=False))
+    fields = "slot long, seq_id long, shard int, byte_offset long, n_tokens int, continues boolean, doc_ids array<long>, doc_starts array<int>"
+    schema = f"{fields}, tokens binary" if tokens else f"{fields}, sha256 string"
+    ids_at, starts_at, tokens_at = HEAD_BYTES, HEAD_BYTES + 8 * DOCS, HEAD_BYTES + 10 * DOCS
 
     def parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard, data = int(re.search(r"part-(\d+)", name.rsplit("/", 1)[1])[1]), content.as_buffer()
-                data = memoryview(data)
-                n = len(data) // step
-                slots = shard * per_shard + np.arange(n, dtype=np.int64)
-                heads = [struct.unpack_from("<iq", data, i * step) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(slots),
-                        pa.array(permute(slots, total, key, back=True)),
-                        pa.array(np.full(n, shard, np.int32)),
-                        pa.array(np.arange(n, dtype=np.int64) * step),
-                        pa.array([h[0] for h in heads], pa.int32()),
-                        pa.array([h[1] for h in heads], pa.int64()),
-                        pa.array([bytes(data[i * step + HEAD : i * step + HEAD + 2 * h[0]]) for i, h in enumerate(heads)], pa.binary()),
-                    ],
-                    names=["slot", "seq_id", "shard", "byte_offset", "n_tokens", "first_doc_id", "tokens"],
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(parsed, schema)
+                shard, data = _shard(name), np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, step)
+                for lo in range(0, len(data), RECORDS):
+                    part = data[lo : lo + RECORDS]
+                    heads = [struct.unpack(HEAD, x.tobytes()) for x in part[:, : HEAD_BYTES]]
+                    docs = [(x[ids_at:starts_at].view("<i8")[: h[1]], x[starts_at:tokens_at].view("<u2")[: h[1]]) for x, h in zip(part, heads, strict=True)]
+                    told = [x[tokens_at : tokens_at + 2 * h[0]].tobytes() for x, h in zip(part, heads, strict=True)]
+                    at = np.arange(lo, lo + len(part), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(base[shard] + at),
+                            pa.array([h[3] for h in heads], pa.int64()),
+                            pa.array(np.full(len(part), shard, np.int32)),
+                            pa.array(at * step),
+                            pa.array([h[0] for h in heads], pa.int32()),
+                            pa.array([bool(h[2]) for h in heads]),
+                            pa.array([d[0] for d in docs], pa.list_(pa.int64())),
+                            pa.array([d[1].astype(np.int32) for d in docs], pa.list_(pa.int32())),
+                            pa.array(told, pa.binary()) if tokens else pa.array([hashlib.sha256(x).hexdigest() for x in told], pa.string()),
+                        ],
+                        names=["slot", "seq_id", "shard", "byte_offset", "n_tokens", "continues", "doc_ids", "doc_starts", "tokens" if tokens else "sha256"],
+                    )
+            del b
+        give_back()
+
+    return files.select("path", "content").mapInArrow(parsed, schema)
 
 
 def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, fixed: bool = False) -> DataFrame:
-    """Write docs as shards into the shared folder and return what they hold, without the tokens but with their digest (sha256)."""
+    """Write docs as shards into the shared folder and return what they hold, with the digest of the tokens (sha256) in their place."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/affinis-shards-{uuid.uuid4().hex}"
-    total = write_shards(docs, path, length, per_shard, key, fixed=fixed)
-    return read_shards(spark, path, total, length, per_shard, key).withColumn("sha256", F.sha2("tokens", 256)).drop("tokens")
+    path = fresh(spark, "shards")
+    write_shards(docs, path, length, per_shard, key, fixed=fixed)
+    return read_shards(spark, path, length, tokens=False)

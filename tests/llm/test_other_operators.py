@@ -227,19 +227,40 @@ def test_shards(spark, tmp_path, fixed):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "again")], "doc_id long, text string").withColumn("slot", F.lit(1))
     df.repartition(3).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
-    n = training_order.write_shards(docs, f"{tmp_path}/shards", 64, 16, fixed=fixed)
-    rows = training_order.read_shards(spark, f"{tmp_path}/shards", n, 64, 16).orderBy("slot").collect()
-    assert [r["slot"] for r in rows] == list(range(n)) and sorted(r["seq_id"] for r in rows) == list(range(n))
+    step = training_order.stride(64)
+    training_order.write_shards(docs, f"{tmp_path}/shards", 64, 16, fixed=fixed)
+    rows = training_order.read_shards(spark, f"{tmp_path}/shards", 64).orderBy("slot").collect()
     files = sorted(tmp_path.glob("shards/part-*"))
-    assert len(files) == -(-n // 16) and [f.stat().st_size for f in files[:-1]] == [16 * training_order.stride(64)] * (len(files) - 1)
-    for r in rows:  # a reader finds a record by its slot alone
-        with open(files[r["shard"]], "rb") as f:
+    n = sum(f.stat().st_size for f in files) // step
+    assert [r["slot"] for r in rows] == list(range(n)) and len({r["seq_id"] for r in rows}) == n and len(files) > n / 16 / 3
+    # slots follow the permutation of all numbers that there may be
+    places = training_order.permute(np.array([r["seq_id"] for r in rows]), (docs if fixed else docs.select("doc_id", "text")).rdd.getNumPartitions() * training_order.SPAN)
+    assert (np.diff(places) > 0).all()
+    by_shard = {int(f.name[5:10]): f for f in files}
+    for r in rows:  # a reader finds a record by its shard and offset alone
+        with open(by_shard[r["shard"]], "rb") as f:
             f.seek(r["byte_offset"])
-            tokens, doc = struct.unpack("<iq", f.read(12))
-            assert (tokens, doc) == (r["n_tokens"], r["first_doc_id"]) and f.read(2 * tokens) == r["tokens"]
+            tokens, n_docs, _, number = struct.unpack(training_order.HEAD, f.read(training_order.HEAD_BYTES))
+            ids = struct.unpack(f"<{training_order.DOCS}q", f.read(8 * training_order.DOCS))[:n_docs]
+            f.read(2 * training_order.DOCS)
+            assert (tokens, list(ids), number) == (r["n_tokens"], r["doc_ids"], r["seq_id"]) and f.read(2 * tokens) == r["tokens"]
+    # the documents of a sequence, from where they begin
+    encode, of = encoder(), {}
+    for i, t in [*enumerate(texts), (-1, "no id"), (3, "again")]:
+        if t:
+            of.setdefault(i, []).append([*encode(t).tolist(), END])
+    parts: dict[int, list[list[int]]] = {}
+    for r in sorted(rows, key=lambda r: r["seq_id"]):
+        tokens = np.frombuffer(r["tokens"], np.uint16).tolist()
+        for j, (doc, lo) in enumerate(zip(r["doc_ids"], r["doc_starts"], strict=True)):
+            part = tokens[lo : (r["doc_starts"] + [len(tokens)])[j + 1]]
+            if j or not r["continues"]:
+                parts.setdefault(doc, []).append(part)
+            else:
+                parts[doc][-1] += part
+    assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in of.items()}
     stream = np.concatenate([np.frombuffer(r["tokens"], np.uint16) for r in sorted(rows, key=lambda r: r["seq_id"])]).tolist()
-    encode = encoder()
-    want = sorted(tuple(np.frombuffer(encode(t), np.uint16).tolist()) for t in [*texts, "no id", "again"] if t)
+    want = sorted(tuple(encode(t).tolist()) for t in [*texts, "no id", "again"] if t)
     got, part = [], []
     for t in stream:
         if t == END:
@@ -248,15 +269,22 @@ def test_shards(spark, tmp_path, fixed):
         else:
             part.append(t)
     assert sorted(got) == want and not part
-    assert training_order.write_shards(docs.limit(0), f"{tmp_path}/none", 64, 16) == 0
-    assert training_order.training_order(docs.where("doc_id < 2")).count() == 0
+    assert training_order.training_order(docs.limit(0), 64, 16).count() == 0 and training_order.training_order(docs.where("doc_id < 2")).count() == 0
+    texts_of_one = spark.createDataFrame([(i, "one") for i in range(1000)], "doc_id long, text string").coalesce(1)
+    few = training_order.training_order(texts_of_one, 2048, 16).collect()  # no more documents than a record names
+    assert max(len(r["doc_ids"]) for r in few) == training_order.DOCS and sorted(i for r in few for i in r["doc_ids"]) == list(range(1000))
+    assert all(len(r["sha256"]) == 64 for r in few)
+    with open(files[0], "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError):
+        training_order.read_shards(spark, f"{tmp_path}/shards", 64)
 
 
 def test_encoder_equals_the_library():
     e, rnd = encoder(), random.Random(9)
     for _ in range(3000):
         t = "".join(rnd.choice("ab'sé 日\n\t .,1  <|>\xa0　\r") for _ in range(rnd.randrange(25)))
-        assert np.frombuffer(e(t), np.uint16).tolist() == e.encode(t), repr(t)
+        assert e(t).tolist() == e.library.encode_ordinary(t), repr(t)
 
 
 # ---- the pipeline

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm import bpe_count, decontaminate, language, near_dup, quality
 from affinis.llm._words import words
-from affinis.llm.components import components
+from affinis.operators.components import components
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
