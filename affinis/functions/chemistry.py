@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ ELEMENTS = (
 ).split()
 MAX_LINE = 100_000
 UINT32 = 0xFFFFFFFF
+MAX_DISTANCE = 127
 
 
 def compound_name(sdf: Column) -> Column:
@@ -113,38 +118,57 @@ def pair_code(code_a: Column, code_b: Column, distance: Column) -> Column:
     return F.shiftleft(small, 20).bitwiseAND(UINT32).bitwiseOR(F.shiftleft(distance.bitwiseAND(0x3F).cast("long"), 13)).bitwiseOR(large)
 
 
+def _pairs_of(z: list[int], bonds: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """a, b, distance, code of one molecule; atoms are numbered from 1."""
+    n = len(z)
+    near: list[list[int]] = [[] for _ in range(n + 1)]
+    degree, pi = [0] * (n + 1), [0] * (n + 1)
+    for a, b, order in bonds:
+        for x, y in {(a, b), (b, a)}:
+            near[x].append(y)
+            if z[y - 1] != 1:
+                degree[x] += 1
+                pi[x] += order - 1 if order < 4 else 0
+    code = [0] + [((e << 6) & 0x1FC0) | (min(d, 7) << 3) | (min(p, 7) & 7) for e, d, p in zip(z, degree[1:], pi[1:], strict=True)]
+    for a in range(1, n + 1):
+        if z[a - 1] == 1:
+            continue
+        seen, newest, distance = {a}, [a], 0
+        while newest and distance < MAX_DISTANCE:
+            distance += 1
+            newest = list(dict.fromkeys(y for x in newest for y in near[x] if y not in seen))
+            seen.update(newest)
+            for b in newest:
+                if b > a and z[b - 1] != 1:
+                    small, large = sorted((code[a], code[b]))
+                    yield a, b, distance, ((small << 20) & UINT32) | ((distance & 0x3F) << 13) | large
+
+
 def atom_pairs(molecules: DataFrame, key: str = "mol_id") -> DataFrame:
     """One row per pair of heavy atoms within reach: key, a, b, distance, code.
 
     molecules: key, atoms, bonds (as parse_sdf gives them; valid ones). Distances are shortest paths over all atoms,
-    breadth first, each molecule in its own row; 128 and more are left out.
+    breadth first, one molecule after the other; those of more than MAX_DISTANCE are left out. Codes are those of
+    pair_code and atom_code.
     """
-    neighbours = F.transform(
-        "atoms",
-        lambda x: F.transform(F.filter("bonds", lambda b: (b.a == x.aid) | (b.b == x.aid)), lambda b: F.when(b.a == x.aid, b.b).otherwise(b.a)),
-    )
-    codes = F.transform("atoms", lambda x: atom_code(x.z, heavy_degree(x, F.col("atoms"), F.col("bonds")), pi_electrons(x, F.col("atoms"), F.col("bonds"))))
-    df = molecules.select(F.col(key), "atoms", "bonds").withColumns({"__next": neighbours, "__code": codes})
-    df = df.withColumn("__from", F.explode("atoms")).where("__from.z <> 1")
-    # layers[d] are the atoms at distance d
-    layers = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.size("atoms") - 1, F.lit(127))),
-        F.struct(F.array(F.col("__from.aid")).alias("seen"), F.array(F.array(F.col("__from.aid"))).alias("layers")),
-        lambda s, d: _step(s),
-        lambda s: s.layers,
-    )
-    df = df.select(key, "atoms", "__code", "__from", F.posexplode(layers).alias("distance", "__layer"))
-    df = df.select(key, "atoms", "__code", F.col("__from.aid").alias("a"), "distance", F.explode("__layer").alias("b"))
-    df = df.where((F.col("b") > F.col("a")) & (F.element_at("atoms", F.col("b")).z != 1))
-    return df.select(key, "a", "b", "distance", pair_code(F.element_at("__code", F.col("a")), F.element_at("__code", F.col("b")), F.col("distance")).alias("code"))
 
-
-def _step(state: Column) -> Column:
-    newest = F.element_at(state.layers, -1)
-    reached = F.array_except(F.array_distinct(F.flatten(F.transform(newest, lambda x: F.element_at(F.col("__next"), x)))), state.seen)
-    return F.when(F.size(newest) == 0, state).otherwise(
-        F.struct(F.concat(state.seen, reached).alias("seen"), F.array_append(state.layers, reached).alias("layers"))
-    )
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows, out = [], []
+            z, a, b, order = (c.to_pylist() for c in batch.columns[1:])
+            for i in range(batch.num_rows):
+                made = list(_pairs_of(z[i], list(zip(a[i], b[i], order[i], strict=True))))
+                rows += [i] * len(made)
+                out += made
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "a", "b", "distance", "code"])
+
+    of = lambda column, name: F.transform(column, lambda x: x[name])
+    flat = molecules.select(F.col(key).alias("key"), of("atoms", "z"), of("bonds", "a"), of("bonds", "b"), of("bonds", "ord"))
+    flat = flat.toDF("key", "z", "ba", "bb", "bo")
+    kind = flat.schema["key"].dataType.simpleString()
+    return flat.mapInArrow(batches, f"key {kind}, a int, b int, distance int, code long").withColumnRenamed("key", key)
 
 
 def descriptors(molecules: DataFrame, key: str = "mol_id") -> DataFrame:

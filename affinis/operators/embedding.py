@@ -63,12 +63,11 @@ def reference_matrix(distances: DataFrame) -> tuple[list[int], np.ndarray]:
     n = distances.select("left_id").distinct().count()
     if n > MAX_REFERENCES:
         raise ValueError(f"{n} references; {MAX_REFERENCES} at most")
-    rows = distances.collect()
-    ids = sorted({r["left_id"] for r in rows})
-    at, d = {x: i for i, x in enumerate(ids)}, np.zeros((len(ids), len(ids)))
-    for r in rows:
-        d[at[r["left_id"]], at[r["right_id"]]] = r["dist"]
-    return ids, d
+    rows = distances.select("left_id", "right_id", F.col("dist").cast("double")).toArrow()
+    left, right = (rows[c].to_numpy() for c in ("left_id", "right_id"))
+    ids, d = np.unique(left), np.zeros((n, n))
+    d[np.searchsorted(ids, left), np.searchsorted(ids, right)] = rows["dist"].to_numpy()
+    return ids.tolist(), d
 
 
 def distances_to_references(distances: DataFrame, ids: list[int]) -> DataFrame:

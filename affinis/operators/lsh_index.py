@@ -7,6 +7,7 @@ Projections of many vectors are one matrix product per batch.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -204,21 +205,16 @@ class APosteriori:
             self.mean[:, j], self.std[:, j] = k @ mean[:, j], np.sqrt(np.maximum(k @ var[:, j], 1e-12))
 
     def choices(self, value: float, j: int) -> list[tuple[float, int]]:
-        """Hash values of component j by falling probability."""
-        from .tuning import normal_cdf
-
+        """Hash values of component j by falling probability: the normal law of its cell, cut at whole numbers."""
         width = max(self.high[j] - self.low[j], 1e-12)
         cell = int(np.clip((value - self.low[j]) / width * self.cells, 0, self.cells - 1))
         mean, std = self.mean[cell, j], self.std[cell, j]
-        out, h0 = [], int(np.floor(mean))
-        for step, h in ((1, h0), (-1, h0 - 1)):
-            while True:
-                p = normal_cdf((h + 1 - mean) / std) - normal_cdf((h - mean) / std)
-                if p < self.THRESHOLD:
-                    break
-                out.append((p, h))
-                h += step
-        return sorted(out, key=lambda x: (-x[0], x[1])) or [(1.0, h0)]
+        reach = std * math.sqrt(-2 * math.log(self.THRESHOLD)) + 1  # less than THRESHOLD lies beyond
+        edges = np.arange(math.floor(mean - reach), math.floor(mean + reach) + 2)
+        p = np.diff([math.erf((e - mean) / (std * math.sqrt(2))) / 2 for e in edges])
+        likely = np.lexsort((edges[:-1], -p))
+        likely = likely[p[likely] >= self.THRESHOLD]
+        return [(float(p[i]), int(edges[i])) for i in likely]
 
     def probes(self, values: np.ndarray, t: int, recall: float) -> list[tuple[int, ...]]:
         """Hash tuples of one table (values: its offset and M values) by falling probability, until t or enough in sum."""

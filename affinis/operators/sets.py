@@ -53,6 +53,11 @@ def sample(rows: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame
     return got
 
 
+def lookup(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of named that has their key, null if none has."""
+    return rows.join(named, key, "left")
+
+
 def references_and_queries(rows: DataFrame, n_refs: int, n_queries: int, key: str = "id", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Disjoint samples."""
     refs = sample(rows.select(key), n_refs, key, seed)
@@ -61,10 +66,10 @@ def references_and_queries(rows: DataFrame, n_refs: int, n_queries: int, key: st
 
 def random_pairs(rows: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame:
     """a, b: n pairs with replacement, both ends uniform, drawn as positions and joined to ids."""
-    numbered = positions(rows.select(F.col(key).alias("id")), "id", "p").withColumn("p", F.col("p").cast("int"))
+    numbered = positions(rows.select(F.col(key).alias("id")), "id", "p")
     total = rows.count()
     spark = rows.sparkSession
-    drawn = spark.range(n).select(F.floor(F.rand(seed) * total).cast("int").alias("pa"), F.floor(F.rand(seed + 1) * total).cast("int").alias("pb"))
+    drawn = spark.range(n).select(F.floor(F.rand(seed) * total).alias("pa"), F.floor(F.rand(seed + 1) * total).alias("pb"))
     a, b = numbered.select(F.col("id").alias("a"), F.col("p").alias("pa")), numbered.select(F.col("id").alias("b"), F.col("p").alias("pb"))
     return drawn.join(a, "pa").join(b, "pb").select("a", "b")
 
@@ -79,7 +84,7 @@ def split_even(rows: DataFrame, n: int, order: str = "id") -> DataFrame:
 
 def split_slices(rows: DataFrame, per_slice: int, order: str = "id") -> DataFrame:
     """slice (from 0) of per_slice rows each, the last with the rest."""
-    return positions(rows, order, "__pos").withColumn("slice", F.floor(F.col("__pos") / per_slice).cast("int")).drop("__pos")
+    return positions(rows, order, "__pos").withColumn("slice", F.expr(f"__pos DIV {per_slice}")).drop("__pos")
 
 
 def unfinished(queries: DataFrame, finished: DataFrame, start: int, end: int, key: str = "query_id") -> DataFrame:

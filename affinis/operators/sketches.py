@@ -10,12 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lsh import HashFamily
-from ..functions.measures import hamming, l2, weighted_hamming
-from ..plans.lineage import bounded
+from ..functions.measures import l2
 from .lsh_index import LshParams
-from .search import matrix, refine, top_k
-
-MAX_QUERIES = 100_000
+from .search import knn, matrix, refine
 
 
 def sketch(items: DataFrame, params: LshParams, key: str = "id", vec: str = "vec") -> DataFrame:
@@ -42,15 +39,14 @@ def sketch_search(
 ) -> DataFrame:
     """query_id, target_id, dist, rank: the k nearest by exact distance of ratio * k candidates by Hamming distance.
 
-    weighted: a differing bit counts by how far the query is from flipping it. query_sketches are a bounded set
-    (MAX_QUERIES at most, checked), broadcast.
+    weighted: a differing bit counts by how far the query is from flipping it. Of bits q and x with weights d the
+    distance is a constant of the query plus the product of x with d * (1 - 2q), so candidates come from the blockwise
+    scan, which sends on ratio * k rows per query and task.
     """
-    q = query_sketches.select(F.col("id").alias("query_id"), F.col("words").alias("qw"), F.col("bits").alias("qb"), F.col("deltas").alias("qd"))
-    q = bounded(q, MAX_QUERIES, "queries")
-    x = sketches.select(F.col("id").alias("target_id"), "words", "bits")
-    gap = weighted_hamming("qb", "bits", "qd") if weighted else hamming("qw", "words").cast("double")
-    rows = x.join(q, F.col("query_id") != F.col("target_id")) if exclude_self else x.crossJoin(q)
-    few = top_k(rows.select("query_id", "target_id", gap.alias("dist")), ratio * k)
+    weights = F.col("deltas") if weighted else F.transform("bits", lambda _: F.lit(1.0))
+    q = query_sketches.select("id", F.zip_with("bits", weights, lambda b, d: d * (2 * b - 1)).alias("vec"))
+    x = sketches.select("id", F.col("bits").cast("array<double>").alias("vec"))
+    few = knn(q, x, ratio * k, "negative_dot", exclude_self=exclude_self)
     return refine(few, queries, items, l2, k, key=key, value=vec)
 
 

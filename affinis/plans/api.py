@@ -116,7 +116,7 @@ def select_descriptors(db: Database, ids: DataFrame) -> DataFrame:
 
 def by_name(db: Database, names: DataFrame) -> DataFrame:
     """names with compound_id, null if there is no such name."""
-    return names.join(db.compounds.select("name", "compound_id"), "name", "left")
+    return sets.lookup(names, db.compounds.select("name", "compound_id"), "name")
 
 
 def _pairs_to(rows: DataFrame, refs: DataFrame, distance: Callable[[Column, Column], Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry, lsh, measures
 from ..operators import clustering, embedding, evaluation, lsh_index, search, sets, sketches, tuning
 from ..streaming import serving
-from .lineage import materialise, shared_dir
+from .lineage import fresh, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -138,11 +138,21 @@ def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_rows(d).select("left_id", F.round(F.col("dists")[0], 4).alias("first_dist"), F.round(total, 4).alias("total"))
 
 
-@register(f"WITH {V}, r AS (SELECT id AS ref, v AS w FROM v WHERE id % 20 = 0) SELECT id, round(min(list_distance(w, v)), 6) AS nearest, round(max(list_distance(w, v)), 6) AS furthest, count(*) AS refs FROM v, r GROUP BY id")
+#: A bounded sample, as many references whatever the size of the table.
+N_REFS = 50
+REFS = f"refs AS (SELECT id FROM v ORDER BY (id * 2654435761) % 4294967296, id LIMIT {N_REFS}), r AS (SELECT id AS ref, v AS w FROM v SEMI JOIN refs USING (id))"
+
+
+def references(x: DataFrame) -> DataFrame:
+    return sets.select_rows(x, sets.sample(x.select("id"), N_REFS))
+
+
+@register(f"WITH {V}, {REFS} SELECT id, round(min(list_distance(w, v)), 6) AS nearest, round(max(list_distance(w, v)), 6) AS furthest, count(*) AS refs FROM v, r GROUP BY id")
 def ref_distance_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors(spark, sf_dir)
-    d = search.distances(asked(x), x).select(F.col("target_id").alias("query_id"), F.col("query_id").alias("target_id"), "dist")
-    wide = embedding.distances_to_references(d, [r[0] for r in asked(x).select("id").collect()])
+    refs = references(x)
+    d = search.distances(refs, x).select(F.col("target_id").alias("query_id"), F.col("query_id").alias("target_id"), "dist")
+    wide = embedding.distances_to_references(d, [r[0] for r in refs.select("id").collect()])
     return wide.select("id", F.round(F.array_min("dists"), 6).alias("nearest"), F.round(F.array_max("dists"), 6).alias("furthest"), F.size("dists").cast("long").alias("refs"))
 
 
@@ -274,7 +284,7 @@ def split_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.split_even(vectors(spark, sf_dir).select("id"), 7)
 
 
-@register("SELECT o_orderkey AS id, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000)::INTEGER AS slice FROM orders")
+@register("SELECT o_orderkey AS id, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000)::BIGINT AS slice FROM orders")
 def split_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.split_slices(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), 1000)
 
@@ -288,7 +298,7 @@ def resume_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT o.o_orderkey, c.c_name AS name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey")
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left").select("o_orderkey", "name")
+    return sets.lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), names, "o_custkey").select("o_orderkey", "name")
 
 
 # ---- aggregates
@@ -302,20 +312,24 @@ def stat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT l_returnflag, round(avg(l_extendedprice), 4) AS arithmetic, round(exp(avg(ln(l_extendedprice))), 4) AS geometric FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_returnflag")
 def arith_geo_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").where(p > 0)
-    return lines.groupBy("l_returnflag").agg(F.round(F.avg(p), 4).alias("arithmetic"), F.round(F.exp(F.avg(F.log(p))), 4).alias("geometric"))
+    arithmetic, geometric = tuning.mean_columns("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(arithmetic, 4).alias("arithmetic"), F.round(geometric, 4).alias("geometric"))
 
 
-@register("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS n FROM lineitem")
+@register("""WITH m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab,
+covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS by_, count(*) AS n FROM lineitem),
+c AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ca, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT round(y - ca * a - cb * b, 3) AS intercept, round(ca, 3) AS quantity, round(cb, 3) AS discount, n FROM c""")
 def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return lines.agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), F.count("*").alias("n"))
+    at = tuning.least_squares(lines, "l_extendedprice", ["l_quantity", "l_discount"])
+    return spark.createDataFrame([(*[round(x, 3) for x in at], lines.count())], "intercept double, quantity double, discount double, n long")
 
 
 @register("SELECT l_orderkey AS id, l_partkey AS tok, count(*) AS c FROM lineitem GROUP BY ALL")
 def descriptor_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baskets(spark, sf_dir)
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_partkey").alias("parts"))
+    return search.token_counts(orders, "id", "parts")
 
 
 # ---- hash families, with parameters as literals in both forms
@@ -323,6 +337,8 @@ def descriptor_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RND = np.random.Generator(np.random.PCG64(20240501))
 DIM = 64
 P = lsh_index.LshParams.random(DIM, 4, 4, 0.8, seed=7)
+#: The index of the searches: a recall of 0.9 at the least share of items scanned of those tried (see README).
+I = lsh_index.LshParams.random(DIM, 16, 10, 2.4, seed=7)  # noqa: E741
 PLANES = [lsh.Hyperplane.random(DIM, _RND) for _ in range(8)]
 THRESHOLDS = [lsh.Threshold.random(DIM, -0.1, 0.1, _RND) for _ in range(8)]
 STABLE = [lsh.PStable(tuple(P.a[0, m].tolist()), float(P.b[0, m]), P.w) for m in range(4)]
@@ -387,29 +403,38 @@ def lsh_quantiser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- indexes
 
-_PROJECTIONS = ", ".join(f"({t}, {m}, {_list(P.a[t, m])}, {float(P.b[t, m])!r}::DOUBLE, {int(P.mix[t, m])})" for t in range(P.tables) for m in range(P.projections))
-_T = 16
-_MOVES = ", ".join(f"({d}, {rank}, {-1 if away else 1})" for d, moves in enumerate(lsh_index.probe_template(P.projections, _T)) for rank, away in moves)
-_INDEX = f"""{V}, a(t, m, a, b, x) AS (VALUES {_PROJECTIONS}), p AS (SELECT id, t, m, x, (list_inner_product(v, a) + b) / {P.w!r}::DOUBLE AS y FROM v, a),
+_T = 40
+
+
+def _index_sql(p: lsh_index.LshParams) -> str:
+    rows = ", ".join(f"({t}, {m}, {_list(p.a[t, m])}, {float(p.b[t, m])!r}::DOUBLE, {int(p.mix[t, m])})" for t in range(p.tables) for m in range(p.projections))
+    return f"""{V}, a(t, m, a, b, x) AS (VALUES {rows}), p AS (SELECT id, t, m, x, (list_inner_product(v, a) + b) / {p.w!r}::DOUBLE AS y FROM v, a),
 h AS (SELECT id, t, m, x, y, floor(y)::BIGINT AS h, CASE WHEN y - floor(y) <= 0.5 THEN -1 ELSE 1 END AS near,
   row_number() OVER (PARTITION BY id, t ORDER BY least(y - floor(y), 1 - (y - floor(y))), m) - 1 AS rank FROM p),
 idx AS (SELECT id, t AS tbl, (sum(((h & 4294967295) * x) & 4294967295)::BIGINT & 4294967295) AS bucket FROM h GROUP BY id, t)"""
-_PROBES = f"""{_INDEX}, moves(depth, rank, s) AS (VALUES {_MOVES}), depths AS (SELECT unnest(range({_T})) AS depth),
+
+
+def _probes_sql(p: lsh_index.LshParams, probes: int) -> str:
+    moves = ", ".join(f"({d}, {rank}, {-1 if away else 1})" for d, chosen in enumerate(lsh_index.probe_template(p.projections, probes)) for rank, away in chosen)
+    return f"""{_index_sql(p)}, moves(depth, rank, s) AS (VALUES {moves}), depths AS (SELECT unnest(range({probes})) AS depth),
 pr AS (SELECT h.id AS query_id, t AS tbl, depths.depth, (sum((((h + coalesce(s, 0) * near) & 4294967295) * x) & 4294967295)::BIGINT & 4294967295) AS bucket
   FROM h CROSS JOIN depths LEFT JOIN moves ON moves.depth = depths.depth AND moves.rank = h.rank WHERE h.id % 20 = 0 GROUP BY h.id, t, depths.depth),
 cand AS (SELECT query_id, id AS target_id, min(depth) AS depth FROM pr JOIN idx USING (tbl, bucket) GROUP BY query_id, id)"""
 
 
-@register(f"WITH {_INDEX} SELECT tbl::INTEGER AS tbl, bucket, id FROM idx")
+_INDEX, _PROBES = _index_sql(P), _probes_sql(I, _T)
+
+
+@register(f"WITH {_index_sql(I)} SELECT tbl::INTEGER AS tbl, bucket, id FROM idx")
 def lsh_index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_index.build_index(vectors(spark, sf_dir), P)
+    return lsh_index.build_index(vectors(spark, sf_dir), I)
 
 
 @register(f"WITH {_PROBES} SELECT query_id, target_id, depth::INTEGER AS depth FROM cand WHERE depth = 0")
 def lsh_bucket_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat index: home buckets alone."""
     x = vectors(spark, sf_dir)
-    return lsh_index.candidates(lsh_index.build_probes(asked(x), P, 1), lsh_index.build_index(x, P))
+    return lsh_index.candidates(lsh_index.build_probes(asked(x), I, 1), lsh_index.build_index(x, I))
 
 
 _TOP = f"""{_PROBES}, d AS (SELECT query_id, target_id, list_distance(x.v, y.v) AS dist FROM cand JOIN v x ON x.id = query_id JOIN v y ON y.id = target_id),
@@ -419,21 +444,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, target_i
 @register(f"WITH {_TOP} SELECT query_id, target_id, round(dist, 6) AS dist, rank FROM top")
 def lsh_multiprobe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors(spark, sf_dir)
-    return rounded(lsh_index.search(asked(x), x, P, 10, _T), "dist")
+    return rounded(lsh_index.search(asked(x), x, I, 10, _T), "dist")
 
 
 @register(f"""WITH {_TOP}, t AS (SELECT x.id AS query_id, y.id AS target_id, row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.v, y.v), y.id) AS rank FROM v x, v y WHERE x.id % 20 = 0)
 SELECT t.query_id, round(count(top.target_id) / 10, 6) AS recall, round((count(top.target_id) + 1) / 11, 6) AS recall_smoothed FROM t LEFT JOIN top ON top.query_id = t.query_id AND top.target_id = t.target_id WHERE t.rank <= 10 GROUP BY t.query_id""")
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors(spark, sf_dir)
-    got = evaluation.compare_search(search.knn(asked(x), x, 10), lsh_index.search(asked(x), x, P, 10, _T), 10)
+    got = evaluation.compare_search(search.knn(asked(x), x, 10), lsh_index.search(asked(x), x, I, 10, _T), 10)
     return rounded(got.withColumn("recall_smoothed", measures.smoothed_recall(F.col("recall") * 10, F.lit(10))), "recall", "recall_smoothed")
 
 
 @register(f"WITH {_PROBES} SELECT query_id, count(*) AS scanned, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS cost FROM cand GROUP BY query_id")
 def lsh_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors(spark, sf_dir)
-    found = lsh_index.candidates(lsh_index.build_probes(asked(x), P, _T), lsh_index.build_index(x, P))
+    found = lsh_index.candidates(lsh_index.build_probes(asked(x), I, _T), lsh_index.build_index(x, I))
     return rounded(lsh_index.cost(found, x.count()), "cost")
 
 
@@ -616,18 +641,19 @@ def descriptor_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- no SQL form: learned, iterative or streaming; tests hold them against properties
 
 
-@register()
+@register(f"WITH {V}, {REFS} SELECT x.ref AS a, y.ref AS b, round(list_distance(x.w, y.w), 4) AS dist FROM r x JOIN r y ON x.ref < y.ref")
 def mds_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = vectors(spark, sf_dir)
-    d = search.distances(asked(x), asked(x)).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
+    """Distances of the scaled references: with as many dimensions as references, those that they were made from."""
+    refs = references(vectors(spark, sf_dir))
+    d = search.distances(refs, refs).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
     ids, square = embedding.reference_matrix(d)
-    at = embedding.classical_scaling(square, 8)
-    return spark.createDataFrame([(i, at[j].tolist()) for j, i in enumerate(ids)], "ref_id long, coord array<double>")
+    at = spark.createDataFrame([(i, x) for i, x in zip(ids, embedding.classical_scaling(square, N_REFS).tolist(), strict=True)], "id long, vec array<double>")
+    return search.distances(at, at).where("query_id < target_id").select(F.col("query_id").alias("a"), F.col("target_id").alias("b"), F.round("dist", 4).alias("dist"))
 
 
 def _embedding(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, DataFrame]:
     x = vectors(spark, sf_dir)
-    refs = asked(x)
+    refs = references(x)
     d = search.distances(refs, refs).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), (F.col("dist") / 4).alias("dist"))
     ids, square = embedding.reference_matrix(d)
     every = search.distances(refs, x).select(F.col("target_id").alias("query_id"), F.col("query_id").alias("target_id"), (F.col("dist") / 4).alias("dist"))
@@ -650,14 +676,19 @@ def lsh_adaptive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lsh_index.adaptive(asked(x), x, WIDE, 10, 40, 0.9), "dist")
 
 
+#: Queries that the a-posteriori model learns from.
+N_TRAIN = 200
+
+
 @register()
 def apost_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on the query set and its true neighbours."""
+    """Trained on a bounded sample of vectors and their true neighbours, asked with the query set."""
     x = vectors(spark, sf_dir)
-    near = search.knn(asked(x), x, 20, exclude_self=True).select("query_id", F.col("target_id").alias("id")).join(x.select("id", "vec"), "id")
-    got = near.groupBy("query_id").agg(F.collect_list(F.col("vec").cast("array<double>")).alias("n")).join(asked(x).select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("q")), "query_id").orderBy("query_id").collect()
-    model = lsh_index.APosteriori(P, np.array([r["q"] for r in got]), [np.array(r["n"]) for r in got])
-    return lsh_index.candidates(lsh_index.a_posteriori_probes(asked(x), model, _T), lsh_index.build_index(x, P))
+    train = materialise(sets.select_rows(x, sets.sample(x.select("id"), N_TRAIN, seed=1)), "train")
+    near = search.knn(train, x, 20, exclude_self=True).select("query_id", F.col("target_id").alias("id")).join(x.select("id", "vec"), "id")
+    got = near.groupBy("query_id").agg(F.collect_list(F.col("vec").cast("array<double>")).alias("n")).join(train.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("q")), "query_id").orderBy("query_id").collect()
+    model = lsh_index.APosteriori(I, np.array([r["q"] for r in got]), [np.array(r["n"]) for r in got])
+    return lsh_index.candidates(lsh_index.a_posteriori_probes(asked(x), model, _T), lsh_index.build_index(x, I))
 
 
 @register()
@@ -669,11 +700,18 @@ def tune_mplsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w, m, recall, cost)], "width double, projections int, recall double, cost double")
 
 
-@register()
+#: Fitted once to vectors drawn at random, so that both forms have the same parameters.
+SPECTRAL = lsh.fit_spectral(np.random.Generator(np.random.PCG64(17)).standard_normal((500, DIM)) / 8, 12)
+
+
+def _wave(omega: tuple[float, ...]) -> str:
+    centred = f"list_transform(range(1, {DIM + 1}), lambda i: v[i] - {_list(SPECTRAL.mean)}[i])"
+    return " * ".join(f"sin(list_inner_product({centred}, {_list(c)}) * {float(o)!r}::DOUBLE + pi() / 2)" for c, o in zip(SPECTRAL.components, omega, strict=True) if o)
+
+
+@register(f"WITH {V} SELECT id, (" + " + ".join(f"CASE WHEN {_wave(o)} > 0 THEN {1 << i} ELSE 0 END" for i, o in enumerate(SPECTRAL.omegas)) + ")::BIGINT AS bits FROM v")
 def spectral_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = vectors(spark, sf_dir)
-    model = lsh.fit_spectral(np.array([r[0] for r in asked(x).select(F.col("vec").cast("array<double>")).collect()]), 12)
-    return x.select("id", model.hash(F.col("vec")).alias("bits"))
+    return vectors(spark, sf_dir).select("id", SPECTRAL.hash(F.col("vec")).alias("bits"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,24 +725,18 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def _folder(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/affinis-stream-{uuid.uuid4().hex}"
-
-
 @register(_SQL["lsh_index_table"])
 def stream_add_availablenow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index that a stream of additions leaves."""
-    to = _folder(spark)
-    serving.add_to_index(_stream(spark, sf_dir), P, f"{to}/index", f"{to}/items", f"{to}/state").awaitTermination()
+    to = fresh(spark, "stream")
+    serving.add_to_index(_stream(spark, sf_dir), I, f"{to}/index", f"{to}/items", f"{to}/state").awaitTermination()
     return spark.read.parquet(f"{to}/index").select("tbl", "bucket", "id")
 
 
 @register(_SQL["lsh_multiprobe_topk"])
 def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of queries against a static index."""
-    to, x = _folder(spark), vectors(spark, sf_dir)
+    to, x = fresh(spark, "stream"), vectors(spark, sf_dir)
     q = asked(_stream(spark, sf_dir))
-    serving.answer(q, x, lsh_index.build_index(x, P), P, 10, _T, f"{to}/answers", f"{to}/state").awaitTermination()
+    serving.answer(q, x, lsh_index.build_index(x, I), I, 10, _T, f"{to}/answers", f"{to}/state").awaitTermination()
     return rounded(spark.read.parquet(f"{to}/answers").select("query_id", "target_id", "dist", "rank"), "dist")

@@ -14,29 +14,44 @@ END = "$$$$"
 
 
 def sdf_records(spark: SparkSession, path: str, skip_annotations: bool = False) -> DataFrame:
-    """sdf: one row per record that ends with its mark; a trailing record without one is dropped.
+    """sdf: one row per record that ends with a line that begins with $$$$; a trailing record without one is dropped.
 
-    Plain files are split at the marks by the text source, in parallel within a file; whether a file's last record had
-    its mark is told by adding up lengths. Compressed files cannot be split and are read whole.
+    Lines may end with CR LF; they come out ending with LF. Plain files are split at the marks by the text source, in
+    parallel within a file; which pieces are a file's first and last, and whether the last had its mark, is told by
+    their places and lengths. A file with the mark's characters elsewhere has its pieces put together again, in one
+    task. Compressed files cannot be split and are read whole.
     """
     from ..functions.chemistry import drop_annotations
 
-    rows = spark.read.option("lineSep", f"{END}\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at")
-    )
-    plain = rows.where(~F.col("file").rlike(r"\.(gz|bz2|zst)$"))
-    ends = plain.groupBy("file").agg(
-        F.max("at").alias("last"), (F.sum(F.octet_length("value") + len(END) + 1) > F.max("size")).alias("open")
-    )
-    plain = plain.join(ends, "file").where(~(F.col("open") & (F.col("at") == F.col("last")) & ~F.col("value").endswith(END)))
-    plain = plain.select(F.regexp_replace("value", r"\$\$\$\$$", "").alias("sdf"))
-    whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").rlike(r"\.(gz|bz2|zst)$"))
-    parts = F.split("value", r"(?m)^\$\$\$\$.*(?:\n|\z)", -1)
-    whole = whole.select(F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("sdf"))
+    packed = r"\.(gz|bz2|zst)$"
+    pieces = spark.read.option("lineSep", END).text(path).select(
+        F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"), F.octet_length("value").alias("bytes"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"),
+    ).where(~F.col("file").rlike(packed))
+    inside = ~F.col("value").endswith("\n")  # if a mark follows, it is not at the beginning of a line
+    files = pieces.groupBy("file").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), (F.sum(F.col("bytes") + len(END)) > F.max("size")).alias("open"), F.count_if(inside).alias("bad"),
+        F.max_by(inside, "at").alias("bad_last"), (F.min_by("value", "at") == "").alias("empty_first"),
+    )
+    odd = F.col("bad") > (F.col("open") & F.col("bad_last")).cast("int") + F.col("empty_first").cast("int")
+    placed = pieces.join(files.select("file", "first", "last", "open", odd.alias("odd")), "file").withColumn("unended", F.col("open") & (F.col("at") == F.col("last")))
+    rest_of_mark = lambda text, first: F.when(first, text).otherwise(F.regexp_replace(text, r"^[^\n]*\n?", ""))
+    plain = placed.where("NOT odd AND NOT unended").select(rest_of_mark(F.col("value"), F.col("at") == F.col("first")).alias("sdf"))
+    again = placed.where("odd").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"), F.max("open").alias("open"))
+    again = again.select(F.concat(F.array_join(F.transform("p", lambda x: x.value), END), F.when(F.col("open"), "").otherwise(END)).alias("value"))
+    whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").rlike(packed)).select(F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
+    parts = F.split("value", r"(?m)^\$\$\$\$[^\n]*(?:\n|\z)", -1)
+    whole = whole.unionByName(again).select(F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("sdf"))
     out = plain.unionByName(whole).where(F.length(F.trim("sdf")) > 0)
     return out.withColumn("sdf", drop_annotations(F.col("sdf"))) if skip_annotations else out
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: files as wholes, lines ending with LF."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
+
+
 def smiles(*_: object) -> DataFrame:
     raise NotImplementedError("SMILES needs a toolkit that is not installed; register a transform for it")
 
@@ -44,7 +59,7 @@ def smiles(*_: object) -> DataFrame:
 def mol2_records(spark: SparkSession, path: str) -> DataFrame:
     """mol2, name: one row per molecule block; a file must begin with a block."""
     mark = "@<TRIPOS>MOLECULE"
-    whole = spark.read.text(path, wholetext=True)
+    whole = _whole(spark, path)
     checked = whole.where(F.assert_true(F.ltrim("value").startswith(mark), F.lit("the first line is not @<TRIPOS>MOLECULE")).isNull())
     block = F.explode(F.filter(F.split("value", r"(?=@<TRIPOS>MOLECULE)"), lambda x: x.startswith(mark))).alias("mol2")
     return checked.select(block).withColumn("name", F.trim(F.try_element_at(F.split("mol2", "\n"), F.lit(2))))
@@ -58,7 +73,7 @@ def rename_mol2(records: DataFrame, name: str) -> DataFrame:
 
 def pdb_residues(spark: SparkSession, path: str) -> DataFrame:
     """file, n, chain, residue, residue_id, text: runs of ATOM and HETATM lines with one residue id, in file order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    whole = _whole(spark, path).select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
     atoms = whole.where(F.col("value").rlike("^(ATOM|HETATM)")).withColumn("residue_id", F.substring("value", 23, 5))
     atoms = atoms.where(F.trim(F.substring("value", 23, 4)).rlike(r"^-?\d+$"))
     w = Window.partitionBy("file").orderBy("line")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import descriptors, parse_sdf
+from ..operators.search import matrix
 
 
 def write_id_list(ids: DataFrame, path: str, append: bool = False) -> None:
@@ -43,17 +44,28 @@ def to_float_vectors(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     return vectors.withColumn(vec, F.col(vec).cast("array<float>"))
 
 
+#: Bytes of a record file, about.
+RECORD_FILE_BYTES = 64 << 20
+
+
 def write_record_file(vectors: DataFrame, path: str, vec: str = "vec", order: str = "id") -> None:
-    """One record file per partition of the range of ``order``: a header and float32 rows. Every partition is read by its task alone."""
+    """Record files, one for each range of ``order``: a header (element size 4, rows, dimension) and float32 rows.
+
+    A file is about RECORD_FILE_BYTES, whatever the number of rows; a line feed, which no reader counts, ends it, as
+    Spark's text writer commits it (the cast to string doesn't check the bytes). Vectors must have one dimension.
+    """
+    n, size = vectors.agg(F.count(vec), F.max(F.size(vec))).first()
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.asarray(v, "<f4") for b in it for v in b.column(0).to_pylist()]
+        rows = [matrix(b.column(0)).astype("<f4") for b in it if b.num_rows]
         if rows:
-            data = struct.pack("<III", 4, len(rows), len(rows[0])) + np.concatenate(rows).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["content"])
+            x = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<III", 4, *x.shape) + x.tobytes()], pa.binary())], names=["content"])
 
-    ranged = vectors.select(order, vec).repartitionByRange(order).sortWithinPartitions(order)
-    ranged.select(vec).mapInArrow(packed, "content binary").write.mode("overwrite").parquet(path)
+    files = max(1, -(-(n * (size or 0) * 4) // RECORD_FILE_BYTES))
+    ranged = vectors.where(F.col(vec).isNotNull()).select(order, vec).repartitionByRange(files, order).sortWithinPartitions(order)
+    made = ranged.select(F.col(vec).cast("array<float>")).mapInArrow(packed, "content binary")
+    made.select(F.col("content").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def build_descriptor_store(records: DataFrame, path: str, sdf: str = "sdf", key: str = "compound_id") -> tuple[int, DataFrame]:
