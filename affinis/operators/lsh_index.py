@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lsh import HashFamily
 from .search import matrix, refine
 
 MAX_PROBES = 200
@@ -142,6 +143,17 @@ def candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
     return probes.join(index, ["tbl", "bucket"]).groupBy("query_id", F.col("id").alias("target_id")).agg(F.min("depth").alias("depth"))
 
 
+def flat_index(items: DataFrame, families: Sequence[HashFamily], key: str = "id", vec: str = "vec") -> DataFrame:
+    """(tbl, bucket, id): a table for each hash family, by column functions alone. Null vectors are in no bucket."""
+    hashes = F.posexplode(F.array(*[f.hash(F.col(vec)) for f in families])).alias("tbl", "bucket")
+    return items.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), hashes).select("tbl", "bucket", "id")
+
+
+def flat_candidates(query_index: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, target_id) that share a bucket of some table."""
+    return query_index.withColumnRenamed("id", "query_id").join(index.withColumnRenamed("id", "target_id"), ["tbl", "bucket"]).select("query_id", "target_id").distinct()
+
+
 def search(queries: DataFrame, items: DataFrame, params: LshParams, k: int, t: int, index: DataFrame | None = None, key: str = "id", vec: str = "vec", distance=None) -> DataFrame:
     """query_id, target_id, dist, rank: the k best of the candidates by the exact distance (Euclidean by default)."""
     from ..functions.measures import l2

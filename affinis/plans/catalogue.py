@@ -601,7 +601,7 @@ m AS (SELECT *, (CASE WHEN aid > 1 THEN 1 ELSE 0 END + CASE WHEN aid < n THEN 1
 k AS (SELECT *, ((z << 6) & 8128) | ((deg << 3) & 56) | (pi & 7) AS code FROM m)"""
 
 
-def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbol = F.element_at(F.array(*[F.lit(x) for x in ("C", "N", "O", "S")]), (F.col("l_partkey") % 4 + 1).cast("int"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", symbol.alias("s"), (F.col("l_suppkey") % 2 + 1).alias("o")).alias("x"))
     rows = lines.groupBy(F.col("l_orderkey").alias("mol_id")).agg(F.array_sort(F.collect_list("x")).alias("x"))
@@ -615,25 +615,25 @@ def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {_CHAIN} SELECT mol_id, 'order ' || mol_id AS name, count(*)::INTEGER AS n_atoms, (count(*) - 1)::INTEGER AS n_bonds, (CASE WHEN n > 1 THEN sum(z) ELSE 0 END)::BIGINT AS protons, coalesce(sum(CASE WHEN aid < n THEN ord END), 0)::BIGINT AS orders, n > 1 AS valid FROM a GROUP BY mol_id, n")
 def sdf_parse_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = chemistry.parse_sdf(_molecules(spark, sf_dir))
+    p = chemistry.parse_sdf(molecules(spark, sf_dir))
     total = lambda c, f: F.aggregate(c, F.lit(0), lambda s, x: s + f(x)).cast("long")
     return p.select("mol_id", "name", "n_atoms", "n_bonds", total("atoms", lambda x: x.z).alias("protons"), total("bonds", lambda x: x.ord).alias("orders"), "valid")
 
 
 @register("SELECT l_orderkey AS mol_id, l_orderkey::VARCHAR AS order_tag, count(*)::VARCHAR AS lines_tag FROM lineitem GROUP BY l_orderkey")
 def sdf_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _molecules(spark, sf_dir).withColumn("t", chemistry.sdf_tags(F.col("sdf")))
+    t = molecules(spark, sf_dir).withColumn("t", chemistry.sdf_tags(F.col("sdf")))
     return t.select("mol_id", F.try_element_at("t", F.lit("ORDER")).alias("order_tag"), F.try_element_at("t", F.lit("LINES")).alias("lines_tag"))
 
 
 @register(f"WITH {_CHAIN} SELECT x.mol_id, x.aid::INTEGER AS a, y.aid::INTEGER AS b, (y.aid - x.aid)::INTEGER AS distance, ((least(x.code, y.code) << 20) & 4294967295) | (((y.aid - x.aid) & 63) << 13) | greatest(x.code, y.code) AS code FROM k x JOIN k y ON x.mol_id = y.mol_id AND x.aid < y.aid")
 def atom_pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chemistry.atom_pairs(chemistry.parse_sdf(_molecules(spark, sf_dir)).where("valid"))
+    return chemistry.atom_pairs(chemistry.parse_sdf(molecules(spark, sf_dir)).where("valid"))
 
 
 @register(f"WITH {_CHAIN}, c AS (SELECT x.mol_id, (((least(x.code, y.code) << 20) & 4294967295) | (((y.aid - x.aid) & 63) << 13) | greatest(x.code, y.code)) AS code FROM k x JOIN k y ON x.mol_id = y.mol_id AND x.aid < y.aid) SELECT mol_id, string_agg(code::VARCHAR, ',' ORDER BY code) AS text, count(*)::INTEGER AS n FROM c GROUP BY mol_id")
 def descriptor_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = chemistry.descriptors(chemistry.parse_sdf(_molecules(spark, sf_dir)).where("valid"))
+    d = chemistry.descriptors(chemistry.parse_sdf(molecules(spark, sf_dir)).where("valid"))
     text = chemistry.descriptor_to_string(F.col("desc"))
     return d.select("mol_id", text.alias("text"), F.size(chemistry.descriptor_from_string(text)).alias("n"))
 
@@ -740,3 +740,6 @@ def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(_stream(spark, sf_dir))
     serving.answer(q, x, lsh_index.build_index(x, I), I, 10, _T, f"{to}/answers", f"{to}/state").awaitTermination()
     return rounded(spark.read.parquet(f"{to}/answers").select("query_id", "target_id", "dist", "rank"), "dist")
+
+
+from . import file_queries  # noqa: E402, F401  (it registers its queries here)

@@ -89,3 +89,23 @@ def test_binary_forms(spark, tmp_path):
     assert writers.open_store(spark, str(tmp_path / "t")).count() == 6
     with pytest.raises(ValueError):
         writers.store(got, str(tmp_path / "t"), "r")
+
+
+def test_record_marks(spark, tmp_path):
+    """Marks begin a line, whatever follows on it; line ends of both kinds; the mark's characters inside a line are text."""
+    import gzip
+
+    from affinis.sources import readers
+
+    cases = {
+        "lf": "a\n1\n$$$$\nb\n2\n$$$$\n", "crlf": "c\r\n1\r\n$$$$\r\nd\r\n2\r\n$$$$\r\n", "blanks": "e\n1\n$$$$  x\nf\n2\n$$$$$",
+        "open": "g\n1\n$$$$\nlost\n2\n", "inside": "h\ncosts $$$$ 5\n$$$$\ni\n$$$$$$$$\nj\n$$$$", "none": "lost\n",
+    }
+    for packed in (False, True):
+        where = tmp_path / f"sdf{packed}"
+        where.mkdir()
+        for name, text in cases.items():
+            data = text.encode()
+            (where / (name + ".sdf" + ".gz" * packed)).write_bytes(gzip.compress(data) if packed else data)
+        got = sorted(r["sdf"] for r in readers.sdf_records(spark, str(where)).collect())
+        assert got == ["a\n1\n", "b\n2\n", "c\n1\n", "d\n2\n", "e\n1\n", "f\n2\n", "g\n1\n", "h\ncosts $$$$ 5\n", "i\n", "j\n"]
