@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import discard, fresh, materialise, settled
+from ..plans.lineage import bounded, discard, fresh, materialise, settled
 
-__all__ = ["bounded_share", "discard", "fresh", "give_back", "materialise", "read", "settled", "small_batches", "with_added"]
+__all__ = ["bounded", "bounded_share", "discard", "fresh", "give_back", "materialise", "read", "settled", "small_batches", "with_added"]
 
 #: Rows, and bytes, of texts that go to a worker at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20

@@ -1,10 +1,11 @@
 """Near-duplicate vectors: an exact range join in the metric of unit vectors.
 
 Cosine c is Euclidean distance sqrt(2 - 2c) between unit vectors. Every vector belongs to the cell of its nearest
-pivot. A vector y of cell q is copied into cell p < q only if some x of cell p could be within the radius r:
-d(y, p) - d(y, q) <= 2r and d(y, p) <= r + max d(x, p) by the triangle inequality, and its distance to the plane
-between the pivots is at most r. Cells then join independently, in blocks of bounded size; a block gives counts and a
-spanning forest of its links, never the pairs.
+pivot; pivots are centres of a sample. A vector y of cell q is copied into cell p < q only if some x of cell p could be
+within the radius r: d(y, p) - d(y, q) <= 2r and min d(x, p) - r <= d(y, p) <= max d(x, p) + r by the triangle
+inequality, and its distance to the plane between the pivots is at most r. Cells then join independently, in blocks of
+bounded size; a block gives counts and a spanning forest of its links, never the pairs. Vectors are shipped as they
+come (single precision stays single) and made unit vectors where they are compared.
 """
 
 from __future__ import annotations
@@ -18,44 +19,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import bounded_share, materialise
+from ._common import bounded, bounded_share, discard, materialise, settled
 
 COSINE = 0.95
 #: Rows that pivots are chosen from, rows of a cell aimed at, pivots at most.
-PIVOT_ROWS, CELL_ROWS, MAX_PIVOTS = 16_384, 8192, 4096
+PIVOT_ROWS, CELL_ROWS, MAX_PIVOTS = 16_384, 16_384, 4096
 #: Rows of a block's two sides for 64 dimensions; fewer for more.
-CORE, OUTER = 4096, 16_384
+CORE, OUTER = 16_384, 32_768
+#: Cells that there may be, over all dimensions.
+MAX_CELLS = 1 << 20
 _EPS = 1e-6
+SLICE = 1024
 
 
-def unit_rows(x: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each dimension: the rows that have finite vectors other than zero, and those as unit vectors in double precision."""
+def units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)  # so that no square over- or underflows
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def good_rows(x: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each dimension: the rows that have finite vectors other than zero, and those as they are."""
     if not isinstance(x.type, pa.ListType):
         x = x.cast(pa.list_(x.type.value_type))
-    values = pc.fill_null(x.values.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    kind = pa.float32() if pa.types.is_float32(x.type.value_type) else pa.float64()
+    values = pc.fill_null(x.values.cast(kind), float("nan")).to_numpy(zero_copy_only=False)
     at = np.asarray(x.offsets)
-    there = np.asarray(pc.is_valid(x))
-    size = np.where(there, np.diff(at), 0)
+    size = np.where(np.asarray(pc.is_valid(x)), np.diff(at), 0)
     for d in np.unique(size[size > 0]).tolist():
         rows = np.flatnonzero(size == d)
         v = values[at[rows][:, None] + np.arange(d)]
         top = np.abs(v).max(1)
-        rows, v, top = rows[ok := np.isfinite(top) & (top > 0)], v[ok], top[ok]
-        v = v / top[:, None]  # so that no square over- or underflows
-        if len(rows):
-            yield d, rows, v / np.sqrt((v * v).sum(1, keepdims=True))
+        ok = np.isfinite(top) & (top > 0)
+        if ok.any():
+            yield d, rows[ok], v[ok]
 
 
-def choose_pivots(x: np.ndarray, k: int) -> np.ndarray:
-    """Farthest-first: each next pivot is the row farthest from those before."""
-    at, gap = [0], 2 - 2 * (x @ x[0])
-    while len(at) < min(k, len(x)):
-        i = int(gap.argmax())
-        if gap[i] <= 1e-9:
-            break
-        at.append(i)
-        gap = np.minimum(gap, 2 - 2 * (x @ x[i]))
-    return x[at]
+def choose_pivots(x: np.ndarray, k: int, rounds: int = 4, seed: int = 3) -> np.ndarray:
+    """Unit centres of at most k clusters of the unit vectors x: k-means from rows at random, so that cells are alike in size."""
+    c = np.unique(x[np.random.default_rng(seed).permutation(len(x))[:k]], axis=0)
+    for _ in range(rounds):
+        near = np.concatenate([(x[lo : lo + 1024] @ c.T).argmax(1) for lo in range(0, len(x), 1024)])
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        length = np.sqrt((total * total).sum(1, keepdims=True))
+        c = np.where(length > 1e-9, total / np.maximum(length, 1e-9), c)
+    return c
 
 
 def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -67,18 +75,24 @@ def _binary(v: np.ndarray) -> pa.Array:
 
 
 class Block:
-    """Rows that are compared: side 0 with side 1, or side 0 with itself if there is no side 1."""
+    """Rows that are compared: side 0 with side 1, or side 0 with itself if there is no side 1; all of one dimension."""
 
     def __init__(self) -> None:
         self.ids: tuple[list[int], list[int]] = ([], [])
         self.vectors: tuple[list[bytes], list[bytes]] = ([], [])
+        self.times: tuple[list[int], list[int]] = ([], [])
+
+    def _units(self, side: int, kind: str) -> np.ndarray:
+        return units(np.frombuffer(b"".join(self.vectors[side]), kind).astype(np.float64).reshape(len(self.ids[side]), -1))
 
-    def solve(self, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def solve(self, cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with links, how many links, and the smallest id that the links of this block connect each with."""
-        a = np.frombuffer(b"".join(self.vectors[0]), np.float64).reshape(len(self.ids[0]), -1)
         self_join = not self.ids[1]
-        b = a if self_join else np.frombuffer(b"".join(self.vectors[1]), np.float64).reshape(len(self.ids[1]), -1)
+        a = self._units(0, kind)
+        b = a if self_join else self._units(1, kind)
+        close = max(2e-5, 2.5e-7 * (a.shape[1] + 8))  # more than single precision may be off by
         ids = np.array(self.ids[0] + self.ids[1], np.int64)
+        times_a, times_b = (np.array(self.times[i], np.float64) for i in (0, 0 if self_join else 1))
         shift = 0 if self_join else len(a)
         n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if len(a) and len(b):
@@ -87,15 +101,15 @@ class Block:
                 first = lo if self_join else 0
                 c = a32[lo : lo + 512] @ b32[first:].T
                 near = c >= np.float32(cosine)
-                x, y = np.nonzero(np.abs(c - np.float32(cosine)) < 2e-5)
+                x, y = np.nonzero(np.abs(c - np.float32(cosine)) < close)
                 if len(x):  # too close for single precision
                     near[x, y] = np.einsum("ij,ij->i", a[lo + x], b[first + y]) >= cosine
                 if self_join:
                     near &= np.arange(near.shape[1]) > np.arange(len(near))[:, None]
                 some = np.flatnonzero(near.any(1))
                 if len(some):
-                    n[lo + some] += near[some].sum(1)
-                    n[shift + first :][: near.shape[1]] += near[some].sum(0)
+                    n[lo + some] += (near[some] @ times_b[first:]).astype(np.int64)  # whole numbers, far below 2^53
+                    n[shift + first :][: near.shape[1]] += (times_a[lo + some] @ near[some]).astype(np.int64)
                 for i in some:
                     there = np.append(shift + first + np.flatnonzero(near[i]), lo + i)
                     got = label[there]
@@ -118,12 +132,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """
     rows = materialise(vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v")), "vectors")
     count = rows.count()
+    kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
     radius = float(np.sqrt(2 - 2 * cosine))
 
     def sampled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for d, _, v in unit_rows(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(v), pa.int32()), _binary(v.astype(np.float32))], names=["d", "v"])
+            for d, _, v in good_rows(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(v), pa.int32()), _binary(units(v.astype(np.float64)).astype(np.float32))], names=["d", "v"])
 
     pivots: dict[int, np.ndarray] = {}
     sample = sorted((r[0], bytes(r[1])) for r in bounded_share(rows, "uid", None, PIVOT_ROWS).select("v").mapInArrow(sampled, "d int, v binary").collect())
@@ -137,46 +152,59 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def assigned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for d, at, v in unit_rows(b.column(1)):
-                dist = _distances(v, pivots_of(d))
-                own = dist.argmin(1)
-                cell = pa.array(d * (MAX_PIVOTS * 2) + own, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), _binary(v), cell, pa.array(dist[np.arange(len(v)), own])], names=["uid", "v", "cell", "dist"])
+            for d, at, v in good_rows(b.column(1)):
+                for lo in range(0, len(v), SLICE):
+                    part = v[lo : lo + SLICE]
+                    dist = _distances(units(part.astype(np.float64)), pivots_of(d))
+                    own = dist.argmin(1)
+                    cell = pa.array(d * MAX_PIVOTS + own, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[lo : lo + SLICE])), _binary(part), cell, pa.array(dist[np.arange(len(part)), own])], names=["uid", "v", "cell", "dist"])
 
     cells = materialise(rows.select("uid", "v").mapInArrow(assigned, "uid long, v binary, cell long, dist double"), "cells")
-    reach = dict(cells.groupBy("cell").agg(F.max("dist")).collect())
+    # equal vectors are compared once: the smallest uid stands for all, and counts as often as there are
+    alike = cells.groupBy(F.md5("v").alias("digest")).agg(F.min("uid").alias("rep"), F.count("*").alias("times"))
+    alike = materialise(alike, "alike")
+    same = materialise(cells.select("uid", F.md5("v").alias("digest")).join(alike.hint("merge"), "digest").select("uid", "rep", "times"), "same")
+    every = cells
+    cells = materialise(cells.join(same.where("uid = rep").select("uid", "times").hint("merge"), "uid").select("uid", "v", "cell", "dist", "times"), "distinct")
+    discard(every, alike)
+    # a row for each pivot at most
+    reach = {r[0]: (r[1], r[2]) for r in cells.groupBy("cell").agg(F.min("dist"), F.max("dist")).collect()}
+    bounds = {}
+    for d in {c // MAX_PIVOTS for c in reach}:
+        p = pivots_of(d)
+        known = [reach.get(d * MAX_PIVOTS + i, (np.inf, -np.inf)) for i in range(len(p))]
+        bounds[d] = np.array(known) + np.array([-radius - _EPS, radius + _EPS])
 
     def copied(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = {}
         for b in it:
             cell, own_dist = b.column(2).to_numpy(), b.column(3).to_numpy()
-            for d in np.unique(cell // (MAX_PIVOTS * 2)).tolist():
-                rows_of = np.flatnonzero(cell // (MAX_PIVOTS * 2) == d)
-                own, base = cell[rows_of] % (MAX_PIVOTS * 2), d * (MAX_PIVOTS * 2)
-                p = pivots_of(d)
-                v = np.stack([np.frombuffer(b.column(1)[int(i)].as_py(), np.float64) for i in rows_of])
-                dist, near = _distances(v, p), own_dist[rows_of]
-                apart = _distances(p, p)
-                for q in range(len(p)):
-                    gap = dist[:, q] - near
-                    far = np.array(reach.get(base + q, -np.inf))
-                    plane = (dist[:, q] ** 2 - near**2) / np.maximum(2 * apart[own, q], 1e-9)
-                    goes = (own > q) & (gap <= 2 * radius + _EPS) & (dist[:, q] <= radius + far + _EPS) & (plane <= radius + _EPS)
-                    yield_at = np.flatnonzero(goes | (own == q))
-                    if len(yield_at):
-                        take = pa.array(rows_of[yield_at])
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(take), base + q), pa.int64()), pa.array(own[yield_at] != q)], names=["uid", "v", "cell", "outer"]
-                        )
-
-    held = cells.mapInArrow(copied, "uid long, v binary, cell long, outer boolean")
+            for d in np.unique(cell // MAX_PIVOTS).tolist():
+                p, (low, high) = pivots_of(d), bounds[d].T
+                if d not in apart:
+                    apart[d] = np.maximum(2 * _distances(p, p), 1e-9)
+                rows_of = np.flatnonzero(cell // MAX_PIVOTS == d)
+                for lo in range(0, len(rows_of), SLICE):
+                    some = rows_of[lo : lo + SLICE]
+                    own, near = cell[some] % MAX_PIVOTS, own_dist[some][:, None]
+                    v = np.frombuffer(b"".join(b.column(1).take(pa.array(some)).to_pylist()), kind).astype(np.float64).reshape(len(some), d)
+                    dist = _distances(units(v), p)
+                    goes = (dist - near <= 2 * radius + _EPS) & (dist >= low) & (dist <= high) & ((dist**2 - near**2) / apart[d][own] <= radius + _EPS)
+                    goes &= np.arange(len(p)) < own[:, None]
+                    goes[np.arange(len(some)), own] = True
+                    q, i = np.nonzero(goes.T)
+                    take = pa.array(some[i])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in (0, 1, 4)), pa.array(d * MAX_PIVOTS + q), pa.array(own[i] != q)], names=["uid", "v", "times", "cell", "outer"])
+
+    held = cells.mapInArrow(copied, "uid long, v binary, times long, cell long, outer boolean")
     scale = 64.0 / max([64, *pivots])
     core, outer = max(64, int(CORE * scale)), max(256, int(OUTER * scale))
-    held = materialise(held, "held")
+    held = held_rows = materialise(held, "held")
     sizes = held.groupBy("cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("outer")) / core)).cast("int").alias("ca"), F.ceil(F.count_if("outer") / outer).cast("int").alias("cb")
     )
-    # a row for each pivot at most
-    held = held.join(F.broadcast(sizes), "cell")
+    held = held.join(bounded(sizes, MAX_CELLS, "cells"), "cell")
     k = F.pmod(F.xxhash64("uid", F.lit(41)), F.when(F.col("outer"), F.col("cb")).otherwise(F.col("ca"))).cast("int")
     held = held.withColumn("k", k)
     to = F.expr(
@@ -189,11 +217,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         at, block = None, Block()
 
         def solved() -> pa.RecordBatch:
-            ids, n, least = block.solve(cosine)
+            ids, n, least = block.solve(cosine, kind)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(least)], names=["uid", "n", "to"])
 
         for b in it:
-            c = [b.column(i).to_pylist() for i in range(4)]
+            c, times = [b.column(i).to_pylist() for i in range(4)], b.column(6).to_pylist()
             for i, g in enumerate(zip(*c[:3], strict=True)):
                 if g != at:
                     if at is not None:
@@ -202,17 +230,26 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 side = c[3][i]
                 block.ids[side].append(b.column(4)[i].as_py())
                 block.vectors[side].append(b.column(5)[i].as_py())
+                block.times[side].append(times[i])
         if at is not None:
             yield solved()
 
-    blocks = held.select("cell", F.explode(to).alias("t"), "uid", "v").select("cell", "t.i", "t.j", "t.side", "uid", "v")
+    blocks = held.select("cell", F.explode(to).alias("t"), "uid", "v", "times").select("cell", "t.i", "t.j", "t.side", "uid", "v", "times")
     blocks = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     links = materialise(blocks.mapInArrow(joined, "uid long, n long, to long"), "vector-links")
-    counts = links.groupBy("uid").agg(F.sum("n").alias("n"))
-    of = components(links.select(F.col("uid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "uid")
-    named = of.join(rows.select("uid", "key"), "uid")
-    least = named.groupBy("component").agg(F.min("key").alias("least"))
-    found = named.select("uid", "component").join(least, "component").join(counts, "uid", "left").select("uid", "least", "n")
-    out = rows.select("uid", "key").join(found, "uid", "left")
+    discard(cells, held_rows)
+
+    def whole() -> DataFrame:
+        counts = links.groupBy(F.col("uid").alias("rep")).agg(F.sum("n").alias("n"))
+        of = components(links.select(F.col("uid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rep")
+        mine = same.where("uid = rep").select("rep", "times").join(of, "rep", "left").join(counts, "rep", "left")
+        mine = mine.select("rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n")).where("n > 0")
+        named = same.select("uid", "rep").join(mine.hint("merge"), "rep").join(rows.select("uid", "key"), "uid")
+        least = named.groupBy("component").agg(F.min("key").alias("least"))
+        found = named.select("uid", "component", "n").join(least.hint("merge"), "component").select("uid", "least", "n")
+        return rows.select("uid", "key").join(found, "uid", "left")
+
+    out = settled(whole, "vector-classes")
+    discard(rows, links, same)
     component = F.coalesce("least", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("key"), component.isNull()).alias("kept"))
