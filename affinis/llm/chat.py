@@ -64,7 +64,7 @@ def format_conversations(turns: DataFrame, template: ChatTemplate | None = None)
 
     turns: conv_id, turn, role, text; further columns are ignored. Rows are put in order of turn; rows with the same
     turn follow by role, then text (nulls first), and repeated rows stay repeated. A null text is empty; a null role is
-    an empty role, which the machine rejects. Rows with a null conv_id form one conversation. A conversation in an
+    an empty role, which the machine rejects. A row with a null conv_id is a conversation of its own. A conversation in an
     order that the machine rejects is formatted all the same, with valid = false. No rows: no conversations. One
     conversation is one record by definition, so its turns meet in one row; nothing else is gathered.
     """
@@ -76,8 +76,9 @@ def format_conversations(turns: DataFrame, template: ChatTemplate | None = None)
             F.struct(
                 F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
             ).alias("t"),
+            F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("__alone"),
         )
-        .groupBy("conv_id")
+        .groupBy("conv_id", "__alone")
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
     )
     state = F.aggregate(

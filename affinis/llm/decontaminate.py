@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import give_back, small_batches, with_added
 from ._words import AS_WORDS
@@ -30,7 +32,7 @@ def word_list(text: str | None) -> list[bytes]:
 class Scanner:
     """The automaton of some items: (item_id, text) rows."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW) -> None:
         import ahocorasick
 
         self.ids: dict[bytes, int] = {}
@@ -76,12 +78,12 @@ def spans_of(text: str, runs: list[int]) -> list[dict[str, int]]:
 _LOADED: dict[int, Scanner] = {}
 
 
-def _pass(docs: DataFrame, text: str, items: list[tuple[int, str]], window: int, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, text: str, items: list[tuple[object, str]], kind: T.DataType, window: int, last: bool) -> DataFrame:
     key = hash(tuple(items))
     columns = [c for c in docs.columns if c not in (*_ADDED, "spans")]
     first = "hits" not in docs.columns
-    added = "n_words bigint, hits array<int>, items array<bigint>" + ", spans array<struct<start: int, stop: int>>" * last
-    schema = with_added(docs, added, columns)
+    added = f"n_words bigint, hits array<int>, items array<{kind.simpleString()}>" + ", spans array<struct<start: int, stop: int>>" * last
+    schema, id_type = with_added(docs, added, columns), pa.list_(to_arrow_type(kind))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _LOADED:
@@ -104,7 +106,7 @@ def _pass(docs: DataFrame, text: str, items: list[tuple[int, str]], window: int,
                 hits.append(runs)
                 found.append(sorted(ids))
                 spans.append(spans_of(x, runs) if runs and last else [])
-            made = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
+            made = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, id_type)]
             if last:
                 made.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], names=schema.names)
@@ -122,14 +124,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     of hit words. contaminated: some word is hit, and one in ``one_in`` at least. Null and empty texts have no words,
     null and empty items no windows; an empty benchmark hits nothing. Items with a null id are left out. Repeated rows
     stay; columns of docs with the names of added ones are replaced. Texts of any length are scanned whole. Items go to
-    the workers with their code, ITEM_CHARS of them at most for each automaton.
+    the workers with their code; beyond ITEM_CHARS characters of them there are further automata, of about as many each.
+    Ids keep their type, whole numbers or strings.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_hit", "contaminated", "spans", *_ADDED)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    kind = items.schema["item_id"].dataType
     parts = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
     for i in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else items
-        docs = _pass(docs, text, sorted(map(tuple, mine.collect())), window, i == parts - 1)
+        docs = _pass(docs, text, sorted(map(tuple, mine.collect())), kind, window, i == parts - 1)
     n_hit = F.aggregate(F.transform("hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).drop("hits")

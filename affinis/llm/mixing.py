@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling. DataFrame and SQL functions only.
 
-The texts of a source, in hashed order, are cut into blocks of ``block_chars`` characters. Target weights are multiples
+The texts of a source, in the order of a digest of id and text, are cut into blocks of ``block_chars`` characters. Target weights are multiples
 of 1/frame: source s owns a(s) of every ``frame`` slots. Block j of s is released at slot floor(j * frame / a) and due
 by ceil((j + 1) * frame / a); the released block with the earliest deadline takes the slot. Because every source has
 used up exactly its a(s) slots at the end of a frame, one frame is scheduled (a fold over ``frame`` steps, whatever the
@@ -90,19 +90,16 @@ def mix(
     """
     n = docs.count()
     buckets = max(256, -(-n // ROWS_PER_BUCKET))
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    rows = docs.withColumns(
-        {
-            "__key": F.coalesce("source", F.lit("")),
-            "__size": F.coalesce(F.length("text"), F.lit(0)).cast("long"),
-            "__h": h,
-            "__bucket": F.pmod(h, F.lit(buckets)),
-        }
-    )
+    # of id and text, so that null and repeated ids are spread; rows that share both are alike
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}|"), F.coalesce("text", F.lit(""))))
+    rows = docs.withColumns({"__key": F.coalesce("source", F.lit("")), "__size": F.coalesce(F.length("text"), F.lit(0)).cast("long"), "__h": h})
+    rows = rows.withColumn("__bucket", F.expr(f"cast(conv(substr(__h, 1, 8), 16, 10) AS long) * {buckets} DIV 4294967296"))
     totals = materialise(rows.groupBy("__key", "__bucket").agg(F.sum("__size").alias("size")), "mix-totals")
     base = totals.select(
         "__key", "__bucket", (F.sum("size").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("size")).alias("__base")
     )
+    if totals.select("__key").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     supply = totals.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("total"))
     plan = schedule(supply, weights, alpha, frame).withColumnsRenamed({"key": "__key", "a": "__a", "slots": "__slots"})
     promised = F.col("__a").isNotNull()
@@ -110,7 +107,7 @@ def mix(
         blocks = supply.select(F.greatest(F.lit(1), F.ceil(F.col("total") / block_chars)).alias("b")).agg(F.sum("b")).first()[0] or 0
         length = int(-(-blocks * fraction // 1))
         promised &= F.expr(f"block < greatest(1L, (__a * {length}L + {frame - 1}L) DIV {frame})")
-    within = Window.partitionBy("__key", "__bucket").orderBy("__h", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__key", "__bucket").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     # plan has at most MAX_SOURCES rows and ``frame`` integers in all
     return (
         rows.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0)))
@@ -119,5 +116,5 @@ def mix(
         .withColumn("block", F.expr(f"(__base + __before) DIV {block_chars}"))
         .withColumn("slot", F.expr(f"(block DIV __a) * {frame} + __slots[cast(block % __a AS int)]"))
         .withColumn("in_mix", promised)
-        .select(*[c for c in docs.columns if c not in ("block", "slot", "in_mix")], "block", "slot", "in_mix")
+        .select(*[c for c in docs.columns if c.lower() not in ("block", "slot", "in_mix")], "block", "slot", "in_mix")
     )

@@ -21,6 +21,8 @@ BITS = 17
 ORDERS = (1, 2, 3, 4)
 #: Labelled rows of each class that a model is fitted on, about.
 ROWS_PER_CLASS = 3000
+#: N-grams of such a row that it is fitted with; of more, those first in the order of a hash. (Scores use all.)
+GRAMS_PER_ROW = 8192
 _MULTIPLY = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
 
 
@@ -46,8 +48,17 @@ class Featuriser:
         return found
 
 
+def first_of(grams: np.ndarray, most: int) -> np.ndarray:
+    """At most so many of these indexes, by a hash of each, in order."""
+    if len(grams) <= most:
+        return grams
+    return np.sort(grams[np.argsort(grams * np.uint32(0x85EBCA77), kind="stable")[:most]])
+
+
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    p, q = (np.bincount(np.concatenate([r for r, c in zip(rows, y, strict=True) if c == k] or [np.zeros(0, np.int64)]), minlength=1 << BITS) + alpha for k in (1, -1))
+    p, q = np.full(1 << BITS, alpha), np.full(1 << BITS, alpha)
+    for r, c in zip(rows, y, strict=True):
+        (p if c == 1 else q)[r] += 1  # a row holds an index once
     return (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
 
 
@@ -136,8 +147,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, share: float, folds: int = 3) -
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Learn from about rows_per_class labelled rows of each class, chosen by a hash of the key.
 
-    The chosen keys (2 * rows_per_class of them, about) are broadcast to the texts, and the n-grams of those come to
-    the driver. A key labelled more than once takes the majority; null labels and keys, and labels without a text, are
+    The chosen keys (2 * rows_per_class of them, about) are broadcast to the texts, and the n-grams of those, of each
+    GRAMS_PER_ROW at most, come to the driver. A key labelled more than once takes the majority; null labels and keys, and labels without a text, are
     left out.
     """
     small_batches(docs.sparkSession)
@@ -151,15 +162,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         grams = Featuriser()
         for b in it:
             data, at = buffers(b.column(1))
-            rows = [grams(data[at[i] : at[i + 1]]).astype(np.uint32).tobytes() for i in range(b.num_rows)]
+            rows = [first_of(grams(data[at[i] : at[i + 1]]).astype(np.uint32), GRAMS_PER_ROW).tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["key", "label", "grams"])
         give_back()
 
     kind = found.schema["__key"].dataType.simpleString()
-    got = sorted(found.mapInArrow(batches, f"key {kind}, label int, grams binary").collect(), key=lambda r: (r[0], r[2]))
-    rows = [np.frombuffer(r[2], np.uint32).astype(np.int64) for r in got]
+    got = found.mapInArrow(batches, f"key {kind}, label int, grams binary").toArrow()
+    got = got.take(pa.array(sorted(range(got.num_rows), key=lambda i: (got["key"][i].as_py(), got["grams"][i].as_py()))))
+    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["grams"]]
     total = sum(counts.values())
-    return train(rows, np.array([1 if r[1] else -1 for r in got]), counts.get(1, 0) / total if total else 0.5)
+    return train(rows, np.where(got["label"].to_numpy() > 0, 1, -1), counts.get(1, 0) / total if total else 0.5)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:

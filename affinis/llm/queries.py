@@ -164,6 +164,39 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
 """
 
+#: One frame of 8192 slots is scheduled step by step; the rest repeats it.
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, '') AS key, coalesce(length(text), 0) AS size, md5(coalesce(doc_id::VARCHAR, '') || '|11|' || coalesce(text, '')) AS h FROM documents),
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY key ORDER BY h ROWS UNBOUNDED PRECEDING) - size)::BIGINT // 65536 AS block FROM d),
+w AS (SELECT key, pow(greatest(sum(size), 1)::DOUBLE, 0.8) AS w FROM d GROUP BY key),
+q AS (SELECT key, w / sum(w) OVER () * (8192 - count(*) OVER ()) AS q, count(*) OVER () AS n FROM w),
+ranked AS (SELECT *, 8192 - n - sum(floor(q)) OVER () AS missing, row_number() OVER (ORDER BY q - floor(q) DESC, key) AS place FROM q),
+shares AS (SELECT key, (1 + floor(q) + CASE WHEN place <= missing THEN 1 ELSE 0 END)::BIGINT AS a FROM ranked),
+one AS (SELECT list(a ORDER BY key) AS a, list(key ORDER BY key) AS keys, count(*) AS n FROM shares),
+steps(t, done, pick) AS (
+  SELECT -1::BIGINT, list_transform(a, lambda x: 0::BIGINT), 0::BIGINT FROM one
+  UNION ALL
+  SELECT t, list_transform(range(1, n + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT t + 1 AS t, done, n, list_min(list_transform(range(1, n + 1), lambda i: CASE WHEN done[i] < a[i] AND (done[i] * 8192) // a[i] <= t + 1
+      THEN (((done[i] + 1) * 8192 + a[i] - 1) // a[i]) * 10000 + i END)) % 10000 AS pick FROM steps, one WHERE t < 8191)),
+slots AS (SELECT keys[pick] AS key, list(t ORDER BY t) AS slots FROM steps, one WHERE t >= 0 GROUP BY ALL)
+SELECT doc_id, source, block, (block // a) * 8192 + slots[block % a + 1] AS slot, true AS in_mix FROM placed JOIN shares USING (key) JOIN slots USING (key)
+"""
+
+#: All pairs of texts that share a shingle, compared exactly.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT rep AS id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d WHERE doc_id = rep AND text IS NOT NULL AND len(w) > 0),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT DISTINCT rep AS a, rep AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE class_id END AS class_id, CASE WHEN text IS NULL THEN true ELSE doc_id = class_id END AS kept FROM d JOIN c ON c.a = d.rep
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_training_order": op2_training_order,
@@ -176,4 +209,4 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op8_embedding_dup": OP8_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_near_dup": OP4_SQL, "op8_embedding_dup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_chat_format": OP10_SQL}
