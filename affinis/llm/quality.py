@@ -168,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     kind = found.schema["__key"].dataType.simpleString()
     got = found.mapInArrow(batches, f"key {kind}, label int, grams binary").toArrow()
-    got = got.take(pa.array(sorted(range(got.num_rows), key=lambda i: (got["key"][i].as_py(), got["grams"][i].as_py()))))
+    keys = list(zip(got["key"].to_pylist(), got["grams"].to_pylist(), strict=True))
+    got = got.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64()))
+    del keys
     rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["grams"]]
     total = sum(counts.values())
     return train(rows, np.where(got["label"].to_numpy() > 0, 1, -1), counts.get(1, 0) / total if total else 0.5)
