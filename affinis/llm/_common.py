@@ -6,16 +6,18 @@ import ctypes
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import bounded, discard, fresh, materialise, settled
 
-__all__ = ["bounded", "bounded_share", "discard", "fresh", "give_back", "materialise", "read", "settled", "small_batches", "with_added"]
+__all__ = ["bounded", "bounded_share", "discard", "fresh", "give_back", "materialise", "parts_of", "read", "settled", "small_batches", "told", "with_added"]
 
 #: Rows, and bytes, of texts that go to a worker at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Parts that the rows of one key are dealt in; one bit of a long for each.
+PARTS = 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +47,26 @@ def with_added(df: DataFrame, ddl: str, names: list[str] | None = None) -> T.Str
     return T.StructType([df.schema[c] for c in names or df.columns] + T.StructType.fromDDL(ddl).fields)
 
 
+def _part(by: str) -> Column:
+    return F.pmod(F.xxhash64(by, F.lit(41)), F.lit(PARTS)).cast("int")
+
+
+def parts_of(by: str) -> Column:
+    """An aggregate for told(): the parts that a group has rows in, as bits of a long."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _part(by))).alias("parts")
+
+
+def told(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows with the facts of their keys, by a sort-merge join that one key with a large share of the rows does not slow.
+
+    facts has one row for each key, with parts_of(by) over the rows. A key's rows are dealt in parts by a hash of
+    ``by``, and its facts go to the parts that have rows: never more copies than there are rows.
+    """
+    here = lambda p: F.call_function("shiftright", F.col("parts"), p).bitwiseAND(1) == 1
+    each = facts.withColumn("__part", F.explode(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), here))).drop("parts")
+    return rows.withColumn("__part", _part(by)).join(each.hint("merge"), [*keys, "__part"], how).drop("__part")
+
+
 def bounded_share(df: DataFrame, key: str, strata: str | None, bound: int, salt: int = 7) -> DataFrame:
     """Rows of df whose hashed key falls under a threshold chosen so that each stratum keeps about ``bound`` rows.
 

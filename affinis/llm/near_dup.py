@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._common import discard, give_back, materialise, settled, small_batches
+from ._common import discard, give_back, materialise, parts_of, settled, small_batches, told
 from ._words import mix64, shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -227,9 +227,9 @@ def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> Data
     """
     # what a component is told by goes to its texts without their shingles: its rows may be most of all
     members = materialise(sketches.select("id", "n").join(coarse.hint("merge"), "id"), "members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("total"))
-    sizes = sizes.select("component", "texts", _blocks(F.col("texts"), F.col("total")).alias("chunks"))
-    placed = materialise(members.select("id", "component").distinct().join(sizes.hint("merge"), "component"), "placed")
+    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("total"), parts_of("id"))
+    sizes = sizes.select("component", "texts", _blocks(F.col("texts"), F.col("total")).alias("chunks"), "parts")
+    placed = materialise(told(members.select("id", "component").distinct(), sizes, ["component"], "id"), "placed")
     rows = materialise(sketches.select("id", "n", "shingles").join(placed.hint("merge"), "id"), "placed-shingles")
     discard(members, placed)
     chunk = F.pmod(F.xxhash64("id", F.lit(17)), F.col("chunks")).cast("int")
@@ -247,29 +247,30 @@ def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> Data
     left = materialise(left.withColumn("part", F.coalesce("part", "id")), "parts-of")
     tokens = materialise(_rare(left, similarity), "rare")
     by_token = tokens.groupBy("component", "token").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("total"), F.sum(F.xxhash64("id", F.lit(37)).cast("decimal(20,0)")).alias("who")
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("total"), F.sum(F.xxhash64("id", F.lit(37)).cast("decimal(20,0)")).alias("who"), parts_of("id")
     )
     # tokens of the same texts make one group
-    groups = by_token.where("low < high").groupBy("component", "texts", "total", "who").agg(F.min("token").alias("token"))
-    groups = materialise(groups.select("component", "token", "texts", "total"), "groups")
+    groups = by_token.where("low < high").groupBy("component", "texts", "total", "who").agg(F.min(F.struct("token", "parts")).alias("first"))
+    groups = materialise(groups.select("component", "first.token", "texts", "total", "first.parts"), "groups")
     if groups.isEmpty():
         return parts
-    met = materialise(tokens.join(groups.hint("merge"), ["component", "token"]), "met")
+    met = materialise(told(tokens, groups, ["component", "token"], "id"), "met")
     sums = met.groupBy("component", "token", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.first("texts").alias("texts"), F.first("total").alias("total"))
     main = sums.groupBy("component", "token").agg(F.max(F.struct("c", "part", "s")).alias("main"), F.first("texts").alias("texts"), F.first("total").alias("total"))
     main = main.select(
         "component", "token", F.col("main.part").alias("main"), _blocks(F.col("texts"), F.col("total")).alias("chunks"),
         _blocks(F.col("texts") - F.col("main.c"), F.col("total") - F.col("main.s")).alias("blocks"),
     )
-    told = met.select("component", "token", "id", "part").join(main.hint("merge"), ["component", "token"])
-    told = materialise(told.select("id", F.xxhash64("component", "token").alias("g1"), "chunks", "blocks", (F.col("part") != F.col("main")).alias("rest")), "told")
+    main = main.join(groups.select("component", "token", "parts").hint("merge"), ["component", "token"])
+    dealt = told(met.select("component", "token", "id", "part"), main, ["component", "token"], "id")
+    dealt = materialise(dealt.select("id", F.xxhash64("component", "token").alias("g1"), "chunks", "blocks", (F.col("part") != F.col("main")).alias("rest")), "dealt")
     discard(tokens, groups, met)
-    again = told.join(left.select("id", "shingles").hint("merge"), "id")
+    again = dealt.join(left.select("id", "shingles").hint("merge"), "id")
     ours = again.select("g1", chunk.alias("g2"), _each("blocks").alias("g3"), "id", "shingles")
     block = F.pmod(F.xxhash64("id", F.lit(31)), F.col("blocks")).cast("int")
     theirs = again.where("rest AND chunks * blocks > 1").select("g1", _each("chunks").alias("g2"), block.alias("g3"), "id", "shingles")
     out = components(links.unionByName(_linked(ours.unionByName(theirs).select(columns), similarity)))
-    discard(links, parts, left, told, rows)
+    discard(links, parts, left, dealt, rows)
     return out
 
 
@@ -289,18 +290,19 @@ def classes(
     small_batches(docs.sparkSession)
     # the joins of what grows with the texts are sort-merge joins at every size, never broadcasts
     made = materialise(sketch(docs, key, text, bands, rows, shingle, tf), "sketches")
-    equal = made.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"))
+    equal = made.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"), parts_of("id"))
     equal = materialise(equal, "equal-texts")
     reps = made.where("size(bands) > 0").join(equal.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
 
     def found() -> DataFrame:
         buckets = reps.select("id", F.explode("bands").alias("bucket"))
-        hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("bucket", "hub")
-        coarse = components(buckets.join(hubs.hint("merge"), "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other"), parts_of("id")).where("hub < other").drop("other")
+        coarse = components(told(buckets, hubs, ["bucket"], "id").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
         return _verified(coarse, reps, similarity).select(F.col("id").alias("rep"), "component")
 
     def whole() -> DataFrame:
-        out = made.select("id", "text_key").join(equal.hint("merge"), "text_key", "left").join(settled(found, "found").hint("merge"), "rep", "left")
+        named = equal.join(settled(found, "found").hint("merge"), "rep", "left")
+        out = told(made.select("id", "text_key"), named, ["text_key"], "id", "left")
         return out.select(F.col("id").alias(key), F.coalesce("component", "rep", "id").alias("class_id"))
 
     out = settled(whole, "classes")

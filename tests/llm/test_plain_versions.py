@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from affinis.llm import bpe_count, chat, decontaminate, language, mixing, near_dup, quality, queries
+from affinis.llm import _common, bpe_count, chat, decontaminate, language, mixing, near_dup, quality, queries
 from affinis.plans import lineage
 from tests.llm.test_text_operators import similarity_classes
 
@@ -179,3 +179,15 @@ def test_tables_are_deleted(spark):
     assert out.count() == 1 and len(set(lineage._tables) - before) == 2
     lineage.discard(out)
     assert len(set(lineage._tables) - before) == 1
+
+
+def test_facts_reach_the_parts_of_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(600)] + [(None, "hot"), (None, None)], "id long, k string")
+    facts = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), _common.parts_of("id"))
+    for how in ("inner", "left"):
+        got = _common.told(rows, facts, ["k"], "id", how)
+        want = rows.join(facts.drop("parts"), "k", how)
+        assert got.columns == want.columns == ["k", "id", "n"]
+        assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    per = rows.where("k = 'hot'").groupBy(_common._part("id").alias("p")).count().collect()
+    assert len(per) == _common.PARTS and max(r["count"] for r in per) < 40
