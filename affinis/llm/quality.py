@@ -173,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     del keys
     rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["grams"]]
     total = sum(counts.values())
-    return train(rows, np.where(got["label"].to_numpy() > 0, 1, -1), counts.get(1, 0) / total if total else 0.5)
+    model = train(rows, np.where(got["label"].to_numpy() > 0, 1, -1), counts.get(1, 0) / total if total else 0.5)
+    del rows, got
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
