@@ -216,14 +216,41 @@ def _rare(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("component", "id", "part", "n", "shingles").mapInArrow(rarest, "component long, id long, part long, n int, token long")
 
 
+def _merged(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met(component, id, part, n, token, texts, total) and groups(component, token, low, parts), with fewer groups where these compare pairs again and again.
+
+    Texts made from one base share many rare shingles, and a pair of them would meet for each. Groups that have a part in
+    common hang together in a cluster; where the comparisons of its groups add up to more than all its texts with each
+    other would take, the cluster becomes one group (of the token -1, named by its smallest part), which holds all pairs of its groups.
+    """
+    arcs = met.join(groups.select("component", "token", "low").hint("merge"), ["component", "token"]).where("part <> low")
+    tied = materialise(components(arcs.select(F.col("part").alias("a"), F.col("low").alias("b")).distinct()).toDF("part", "cluster"), "tied")
+    size = lambda by: met.groupBy(*by, "part").agg(F.count_distinct("id").alias("c"))
+    each = size(["component", "token"]).join(tied.hint("merge"), "part").groupBy("cluster", "component", "token").agg(F.sum("c").alias("t"), F.max("c").alias("m"))
+    apart = each.groupBy("cluster").agg(F.sum(F.expr("double(t) * (t - m)")).alias("apart"))
+    once = size([]).join(tied.hint("merge"), "part").groupBy("cluster").agg(F.sum("c").alias("t"), F.max("c").alias("m"))
+    one = apart.join(once.hint("merge"), "cluster").where("double(t) * (t - m) < apart").select("cluster")
+    one = materialise(tied.join(one.hint("merge"), "cluster"), "one-group")
+    if one.isEmpty():
+        return met, groups
+    few = met.groupBy("part").agg(parts_of("id")).join(one.hint("merge"), "part", "left")
+    named = materialise(told(met, few, ["part"], "id"), "met-clusters")
+    rows = named.where("cluster IS NOT NULL").select(F.col("cluster").alias("component"), "id", "part", "n", F.lit(-1).cast("long").alias("token")).distinct()
+    whole = rows.groupBy("component", "token").agg(F.count("*").alias("texts"), F.sum("n").alias("total"), F.min("part").alias("low"), parts_of("id"))
+    rows = told(rows, whole.drop("low"), ["component", "token"], "id")
+    rest = named.where("cluster IS NULL").drop("cluster")
+    kept = groups.join(rest.select("component", "token").distinct().hint("merge"), ["component", "token"], "left_semi")
+    return materialise(rest.unionByName(rows), "met-merged"), materialise(kept.unionByName(whole.select(groups.columns)), "groups-merged")
+
+
 def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(id, component): connected components of the links among the texts of each coarse component.
 
     A coarse component is cut into chunks of bounded size and each chunk's links are found exactly. Of a component of
     several chunks, some texts (hubs) go to every chunk, which ties most copies into parts; then texts of different
     parts meet in groups that share one of their rarest shingles, as any two that are linked do (see _rare). So each
-    pair of texts has been compared, is in one part anyhow, or can't be linked. Groups are cut into blocks in the same
-    way: each text outside a group's largest part goes to all of its chunks, none of that part meets another of it.
+    pair of texts has been compared, is in one part anyhow, or can't be linked. Groups that share most of their texts
+    become one (see _merged). Groups are cut into blocks in the same way: each text outside a group's largest part goes to all of its chunks, none of that part meets another of it.
     """
     # what a component is told by goes to its texts without their shingles: its rows may be most of all
     members = materialise(sketches.select("id", "n").join(coarse.hint("merge"), "id"), "members")
@@ -250,11 +277,12 @@ def _verified(coarse: DataFrame, sketches: DataFrame, similarity: float) -> Data
         F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("total"), F.sum(F.xxhash64("id", F.lit(37)).cast("decimal(20,0)")).alias("who"), parts_of("id")
     )
     # tokens of the same texts make one group
-    groups = by_token.where("low < high").groupBy("component", "texts", "total", "who").agg(F.min(F.struct("token", "parts")).alias("first"))
-    groups = materialise(groups.select("component", "first.token", "texts", "total", "first.parts"), "groups")
+    groups = by_token.where("low < high").groupBy("component", "texts", "total", "who").agg(F.min(F.struct("token", "low", "parts")).alias("first"))
+    groups = materialise(groups.select("component", "first.token", "first.low", "texts", "total", "first.parts"), "groups")
     if groups.isEmpty():
         return parts
-    met = materialise(told(tokens, groups, ["component", "token"], "id"), "met")
+    met = materialise(told(tokens, groups, ["component", "token"], "id").drop("low"), "met")
+    met, groups = _merged(met, groups.select("component", "token", "low", "parts"))
     sums = met.groupBy("component", "token", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.first("texts").alias("texts"), F.first("total").alias("total"))
     main = sums.groupBy("component", "token").agg(F.max(F.struct("c", "part", "s")).alias("main"), F.first("texts").alias("texts"), F.first("total").alias("total"))
     main = main.select(

@@ -191,3 +191,26 @@ def test_facts_reach_the_parts_of_a_hot_key(spark):
         assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
     per = rows.where("k = 'hot'").groupBy(_common._part("id").alias("p")).count().collect()
     assert len(per) == _common.PARTS and max(r["count"] for r in per) < 40
+
+
+def test_texts_of_one_base_meet_once_and_not_for_each_rare_shingle(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK_TEXTS", 8)
+    monkeypatch.setattr(near_dup, "HUBS", 2)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(60):
+        rate = rng.uniform(0.005, 0.07)
+        texts.append(" ".join(f"x{rng.randrange(1 << 40)}" if rng.random() < rate else w for w in base))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    met, inner = [], near_dup._linked
+    monkeypatch.setattr(near_dup, "_linked", lambda groups, s: met.append(groups.count()) or inner(groups, s))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == dict(enumerate(root))
+    assert met[-1] < 60 * 17, met  # all with all in blocks of 8; one group for each shingle took several times that
