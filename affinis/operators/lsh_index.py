@@ -18,10 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lsh import HashFamily
-from .search import matrix, refine
+from ..plans.lineage import fresh, materialise
+from .search import BLOCK_BYTES, _batch, _blocks, _exact, _Nearest, _rough, matrix, refine, top_k
 
 MAX_PROBES = 200
 UINT32 = 0xFFFFFFFF
+#: A depth beyond all probes.
+NEVER = 255
+#: Queries that a worker looks up at a time, and meetings of them with items.
+LOOKUP, MEETINGS = 2048, 1 << 20
+#: So many blocks of queries become one plan; more are looked up in turn.
+LAZY = 8
 
 
 @dataclass(frozen=True)
@@ -154,12 +161,149 @@ def flat_candidates(query_index: DataFrame, index: DataFrame) -> DataFrame:
     return query_index.withColumnRenamed("id", "query_id").join(index.withColumnRenamed("id", "target_id"), ["tbl", "bucket"]).select("query_id", "target_id").distinct()
 
 
+class _Lookup:
+    """The probes of a block of queries, sorted by bucket: an equi-join with items that holds no pair."""
+
+    def __init__(self, q: np.ndarray, params: LshParams, t: int) -> None:
+        probes = np.concatenate([probes_of(params.values(q[lo : lo + 256]), params, t) for lo in range(0, len(q), 256)])
+        n, self.depths, tables = probes.shape
+        key = (probes.astype(np.uint64) | (np.arange(tables, dtype=np.uint64) << np.uint64(32))).ravel()
+        order = np.argsort(key, kind="stable")
+        self.n, self.key = n, key[order]
+        self.query, self.depth = (order // (self.depths * tables)).astype(np.int32), (order // tables % self.depths).astype(np.uint8)
+
+    def first(self, tbl: np.ndarray, bucket: np.ndarray, owner: np.ndarray, items: int) -> np.ndarray:
+        """queries x items: the first depth at which a query meets an item (owner of a bucket of a table); NEVER if at none."""
+        key = bucket.astype(np.uint64) | (tbl.astype(np.uint64) << np.uint64(32))
+        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        out = np.full(self.n * items, NEVER, np.uint8)
+        ends = np.cumsum(high - low)
+        at, total = 0, int(ends[-1]) if len(ends) else 0
+        while at < total:  # bounded pieces of the hits
+            lo, to = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, at + MEETINGS, "right"))
+            to = max(to, lo + 1)
+            many = (high - low)[lo:to]
+            mine = np.arange(many.sum()) + np.repeat(low[lo:to] - (np.cumsum(many) - many), many)
+            np.minimum.at(out, self.query[mine].astype(np.int64) * items + np.repeat(owner[lo:to], many), self.depth[mine])
+            at = int(ends[to - 1])
+        return out.reshape(self.n, items)
+
+
+class _NearestUpto:
+    """What may be among the k best up to some depth, of what one task has seen: fewer than k are nearer at depths up to its own."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, depths: int) -> None:
+        self.ids, self.q, self.k, self.depths = ids, q, k, depths
+        self.kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        self.limit = np.full((len(ids), depths), np.inf)
+
+    def add(self, item_ids: np.ndarray, x: np.ndarray, first: np.ndarray) -> None:
+        for i in range(len(self.ids)):
+            at = np.flatnonzero(first[i] != NEVER)
+            if not len(at):
+                continue
+            rough, slack = _rough(self.q[i : i + 1], x[at], "l2")
+            depth = first[i, at].astype(np.int64)
+            limit = self.limit[i, depth]
+            near = rough[0] - slack[0] <= limit * limit * (1 + 1e-15)
+            at, depth = at[near], depth[near]
+            if len(at):
+                old = self.kept[i]
+                self._keep(i, np.concatenate([old[0], _exact(self.q[i], x[at], "l2")]), np.concatenate([old[1], item_ids[at]]), np.concatenate([old[2], depth]))
+
+    def _keep(self, i: int, dist: np.ndarray, ids: np.ndarray, depth: np.ndarray) -> None:
+        order = np.lexsort((ids, dist))
+        # a depth whose k are full is full for all later ones: only earlier depths are open
+        count, open_, take = np.zeros(self.depths, np.int64), self.depths, []
+        self.limit[i] = np.inf
+        for at, d in zip(order.tolist(), depth[order].tolist(), strict=True):
+            if d < open_:
+                take.append(at)
+                count[d:] += 1
+                while open_ and count[open_ - 1] >= self.k:
+                    open_ -= 1
+                    self.limit[i, open_] = dist[at]
+                if not open_:
+                    break
+        self.kept[i] = dist[take], ids[take], depth[take]
+
+    def rest(self) -> pa.RecordBatch:
+        n = [len(d) for d, _, _ in self.kept]
+        dist, ids, depth = (np.concatenate([c[j] for c in self.kept]) for j in range(3))
+        columns = [np.repeat(self.ids, n), ids.astype(np.int64), depth.astype(np.int32), dist]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "target_id", "depth", "dist"])
+
+
+def _scan(queries: DataFrame, items: DataFrame, index: DataFrame, params: LshParams, k: int, t: int, upto: bool, key: str, vec: str) -> DataFrame:
+    """Hits of the items in probed buckets: (query_id, target_id, dist), with upto also depth, k for each task and query.
+
+    The index goes back to its items, with their vectors; blocks of queries go to the workers, which look their buckets up.
+    """
+    buckets = index.groupBy("id").agg(F.collect_list("tbl").alias("tbl"), F.collect_list("bucket").alias("bucket"))
+    rows = items.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = rows.join(buckets, "id").select("id", "v", "tbl", "bucket")
+    schema = "query_id long, target_id long, " + ("depth int, dist double" if upto else "dist double")
+    if t > MAX_PROBES:
+        raise ValueError(f"{MAX_PROBES} probes at most")
+
+    def task(ids: np.ndarray, q: np.ndarray):
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = [(slice(lo, lo + LOOKUP), None, None) for lo in range(0, len(ids), LOOKUP)]
+            for at, (mine, _, _) in enumerate(blocks):
+                near = _NearestUpto(ids[mine], q[mine], k, t) if upto else _Nearest(ids[mine], q[mine], k, "l2", None, 1, False)
+                blocks[at] = mine, _Lookup(q[mine], params, t), near
+            for b in it:
+                for lo in range(0, b.num_rows, 512):
+                    part = b.slice(lo, 512)
+                    tbl, bucket = (part.column(j).flatten().to_numpy(zero_copy_only=False) for j in (2, 3))
+                    owner = np.repeat(np.arange(part.num_rows), np.diff(part.column(2).offsets.to_numpy()))
+                    there, x = part.column(0).to_numpy(), matrix(part.column(1))
+                    for _, lookup, near in blocks:
+                        first = lookup.first(tbl, bucket, owner, part.num_rows)
+                        if upto:
+                            near.add(there, x, first)
+                        else:
+                            for _ in near.hits(there, x, first != NEVER):
+                                pass
+            for _, _, near in blocks:
+                if upto:
+                    yield near.rest()
+                else:
+                    yield from map(_batch, near.rest())
+
+        return batches
+
+    # a block of queries with its probes takes BLOCK_BYTES: 13 bytes for each probe
+    found, path, n = None, None, 0
+    few = max(1, BLOCK_BYTES // (8 * params.a.shape[2] + 13 * t * params.tables))
+    for ids, q in _blocks(queries, key, vec)[1]:
+        for lo in range(0, len(ids), 4 * few):
+            got = rows.mapInArrow(task(ids[lo : lo + 4 * few], q[lo : lo + 4 * few]), schema)
+            n += 1
+            if n <= LAZY:
+                found = got if found is None else found.unionAll(got)
+            else:
+                if path is None:
+                    path = fresh(queries.sparkSession, "lookups")
+                    found.write.mode("append").parquet(path)
+                got.write.mode("append").parquet(path)
+    if path is not None:
+        return queries.sparkSession.read.schema(schema).parquet(path)
+    return queries.sparkSession.createDataFrame([], schema) if found is None else found
+
+
 def search(queries: DataFrame, items: DataFrame, params: LshParams, k: int, t: int, index: DataFrame | None = None, key: str = "id", vec: str = "vec", distance=None) -> DataFrame:
-    """query_id, target_id, dist, rank: the k best of the candidates by the exact distance (Euclidean by default)."""
+    """query_id, target_id, dist, rank: the k best of the candidates by the exact distance (Euclidean by default).
+
+    By Euclidean distance candidates are met and measured in the workers and never become rows; another distance takes a
+    table of candidates. Ids of items are distinct.
+    """
     from ..functions.measures import l2
 
-    found = candidates(build_probes(queries, params, t, key, vec), index if index is not None else build_index(items, params, key, vec))
-    return refine(found, queries, items, distance or l2, k, key=key, value=vec)
+    index = index if index is not None else build_index(items, params, key, vec)
+    if distance is None or distance is l2:
+        return top_k(_scan(queries, items, index, params, k, t, False, key, vec), k)
+    return refine(candidates(build_probes(queries, params, t, key, vec), index), queries, items, distance, k, key=key, value=vec)
 
 
 def cost(found: DataFrame, n_items: int) -> DataFrame:
@@ -172,19 +316,39 @@ def adaptive(queries: DataFrame, items: DataFrame, params: LshParams, k: int, t:
 
     The expectation for a neighbour at distance d after j probes comes from the model of recall, as a table of 200 steps.
     """
-    from ..functions.measures import l2
     from .tuning import recall_table
 
-    found = candidates(build_probes(queries, params, t, key, vec), build_index(items, params, key, vec))
     table = recall_table(params.w, params.projections, params.tables, t)
-    q = queries.select(F.col(key).alias("query_id"), F.col(vec).alias("__q"))
-    x = items.select(F.col(key).alias("target_id"), F.col(vec).alias("__x"))
-    rows = found.join(q, "query_id").join(x, "target_id").select("query_id", "target_id", "depth", l2("__q", "__x").alias("dist"))
-    # the k best among candidates up to each depth; an item that is not among the k best of its own depth never is
-    own = Window.partitionBy("query_id", "depth").orderBy("dist", "target_id")
-    few = rows.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k).drop("r")
-    upto = few.select("query_id", "target_id", "dist", F.explode(F.sequence(F.col("depth"), F.lit(t - 1))).alias("depth"))
-    best = upto.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+    def ranked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best up to each depth, of rows that come by query, distance and id."""
+
+        def best(q: int, ids: np.ndarray, depth: np.ndarray, dist: np.ndarray) -> list[np.ndarray]:
+            first = [np.flatnonzero(depth <= j)[:k] for j in range(t)]
+            n, at = [len(f) for f in first], np.concatenate(first)
+            rank = np.concatenate([np.arange(1, x + 1) for x in n])
+            return [np.full(len(at), q), ids[at], dist[at], np.repeat(np.arange(t), n), rank]
+
+        kinds, names = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), ["query_id", "target_id", "dist", "depth", "rank"]
+        at, open_ = None, []
+        for b in it:
+            c, out = [b.column(i).to_numpy() for i in range(4)], []
+            cut = np.flatnonzero(np.append(True, c[0][1:] != c[0][:-1])) if b.num_rows else []
+            for lo, hi in zip(cut, np.append(cut[1:], b.num_rows), strict=True) if len(cut) else ():
+                if open_ and c[0][lo] != at:
+                    out.append(best(at, *(np.concatenate(x) for x in zip(*open_, strict=True))))
+                    open_ = []
+                at = int(c[0][lo])
+                open_.append([x[lo:hi].copy() for x in c[1:]])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        if open_:
+            out = best(at, *(np.concatenate(x) for x in zip(*open_, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(kind) for x, kind in zip(out, kinds, strict=True)], names=names)
+
+    few = _scan(queries, items, build_index(items, params, key, vec), params, k, t, True, key, vec)
+    dealt = few.repartition("query_id").sortWithinPartitions("query_id", "dist", "target_id").select("query_id", "target_id", "depth", "dist")
+    best = materialise(dealt.mapInArrow(ranked, "query_id long, target_id long, dist double, depth int, rank int"), "upto-depths")
     step = F.floor((F.log(F.greatest("dist", F.lit(table.low))) - float(np.log(table.low))) * table.steps / float(np.log(table.high / table.low)) + 0.5).cast("int")
     flat = F.array(*[F.lit(float(v)) for v in table.values.ravel()])
     at = F.col("depth") * table.steps + F.least(step, F.lit(table.steps - 1)) + 1

@@ -15,8 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.measures import l2
 from ..operators.embedding import MAX_REFERENCES, embed
-from ..operators.lsh_index import LshParams, build_index, build_probes, candidates
-from ..operators.search import refine
+from ..operators.lsh_index import LshParams, build_index, build_probes, search
 from ..plans.lineage import bounded
 
 
@@ -46,8 +45,7 @@ def answer(
     """
 
     def batch(rows: DataFrame, n: int) -> None:
-        found = candidates(build_probes(rows, params, probes, key, vec), index)
-        refine(found, rows, items, distance, k, key=key, value=vec).write.mode("overwrite").parquet(f"{target}/batch={n}")
+        search(rows, items, params, k, probes, index, key, vec, distance).write.mode("overwrite").parquet(f"{target}/batch={n}")
 
     writer = queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

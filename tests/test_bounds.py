@@ -22,3 +22,33 @@ def test_a_product_is_bounded_whatever_the_block(monkeypatch):
     near.add(np.arange(2048), x)
     assert max(sizes) <= 1 << 20 and sum(sizes) == 2048 * 2048
     assert all(len(b) == 3 for b in near.best)
+
+
+def test_a_lookup_is_that_of_the_table_of_candidates(spark):
+    """Also by an index of some of the items, by another seed's buckets."""
+    x, _ = table(spark, 400)
+    few, params = x.where("id % 9 = 0"), lsh_index.LshParams.random(8, 3, 4, 1.5, seed=2)
+    for index in (lsh_index.build_index(x, params), lsh_index.build_index(x.where("id % 3 > 0"), params)):
+        found = lsh_index.candidates(lsh_index.build_probes(few, params, 12), index)
+        want = search.refine(found, few, x, measures.l2, 5)
+        got = lsh_index.search(few, x, params, 5, 12, index)
+        as_ = lambda df: sorted((r["query_id"], r["rank"], r["target_id"], round(r["dist"], 9)) for r in df.collect())
+        assert as_(got) == as_(want)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and "depth" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_is_kept_for_all_depths_is_the_k_best_up_to_each():
+    rnd = np.random.Generator(np.random.PCG64(8))
+    x, q = rnd.standard_normal((300, 4)).round(1), rnd.standard_normal((3, 4)).round(1)
+    first = rnd.integers(0, 7, (3, 300)).astype(np.uint8)
+    first[first == 6] = lsh_index.NEVER
+    near = lsh_index._NearestUpto(np.arange(3), q, 4, 6)
+    for lo in range(0, 300, 37):
+        near.add(np.arange(300)[lo : lo + 37], x[lo : lo + 37], first[:, lo : lo + 37])
+    for i in range(3):
+        d = search._exact(q[i], x, "l2")
+        dist, ids, depth = near.kept[i]
+        assert len(ids) < 60
+        for j in range(6):
+            want = sorted((d[a], a) for a in range(300) if first[i, a] <= j)[:4]
+            assert sorted((a, b) for a, b, c in zip(dist.tolist(), ids.tolist(), depth.tolist(), strict=True) if c <= j)[:4] == want
