@@ -167,9 +167,8 @@ def pair_list_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.id AS a, y.id AS b, round(greatest(0, max(abs(x.dist - y.dist))), 6) AS low, round(least(1, min(x.dist + y.dist)), 6) AS high FROM d x JOIN d y ON y.id = x.id + 1 AND y.ref = x.ref GROUP BY x.id, y.id""")
 def triangle_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors(spark, sf_dir)
-    d = search.distances(asked(x), x).select(F.col("target_id").alias("id"), F.col("query_id").alias("ref"), (F.col("dist") / 2).alias("dist"))
     pairs = x.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return rounded(search.triangle_bounds(pairs, d), "low", "high")
+    return rounded(search.reference_bounds(pairs, x, asked(x), 0.5), "low", "high")
 
 
 @register(f"WITH {V} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS length, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM v")

@@ -24,6 +24,16 @@ def test_a_product_is_bounded_whatever_the_block(monkeypatch):
     assert all(len(b) == 3 for b in near.best)
 
 
+def test_reference_bounds_are_those_of_the_table_of_distances(spark):
+    x, _ = table(spark, 60)
+    refs = x.where("id % 7 = 0")
+    pairs = x.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    d = search.distances(refs, x).select(F.col("target_id").alias("id"), F.col("query_id").alias("ref"), (F.col("dist") / 4).alias("dist"))
+    want = sorted(map(tuple, search.triangle_bounds(pairs, d).select("a", "b", "low", "high").collect()))
+    got = sorted(map(tuple, search.reference_bounds(pairs, x, refs, 0.25).collect()))
+    assert len(got) == 59 and got == want
+
+
 def test_a_lookup_is_that_of_the_table_of_candidates(spark):
     """Also by an index of some of the items, by another seed's buckets."""
     x, _ = table(spark, 400)
