@@ -130,12 +130,9 @@ def limited_knn_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {V}, {Q} SELECT query_id AS left_id, list(round(list_distance(w, v), 4) ORDER BY id)[1] AS first_dist, round(sum(list_distance(w, v)), 4) AS total FROM q, v GROUP BY query_id")
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the matrix of the query set against all."""
-    from ..sources.writers import dense_rows
-
     x = vectors(spark, sf_dir)
-    d = search.distances(asked(x), x).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
     total = F.aggregate("dists", F.lit(0.0), lambda s, v: s + v)
-    return dense_rows(d).select("left_id", F.round(F.col("dists")[0], 4).alias("first_dist"), F.round(total, 4).alias("total"))
+    return search.distance_rows(asked(x), x).select("left_id", F.round(F.col("dists")[0], 4).alias("first_dist"), F.round(total, 4).alias("total"))
 
 
 #: A bounded sample, as many references whatever the size of the table.

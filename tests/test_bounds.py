@@ -62,3 +62,15 @@ def test_what_is_kept_for_all_depths_is_the_k_best_up_to_each():
         for j in range(6):
             want = sorted((d[a], a) for a in range(300) if first[i, a] <= j)[:4]
             assert sorted((a, b) for a, b, c in zip(dist.tolist(), ids.tolist(), depth.tolist(), strict=True) if c <= j)[:4] == want
+
+
+@pytest.mark.parametrize("block", [search.BLOCK_BYTES, 400])
+def test_rows_of_a_matrix_whole_and_in_pieces(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "BLOCK_BYTES", block)
+    x, _ = table(spark, 50)
+    few = x.where("id % 5 = 0")
+    monkeypatch.setattr(search, "distances", None)
+    got = {r[0]: r[1] for r in search.distance_rows(few, x).collect()}
+    monkeypatch.undo()
+    d = search.distances(few, x).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
+    assert got == {r[0]: r[1] for r in writers.dense_rows(d).collect()}
