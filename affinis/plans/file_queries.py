@@ -126,9 +126,8 @@ def pdb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six significant digits are written, so that sums are told as whole numbers."""
     x = vectors(spark, sf_dir)
-    d = search.distances(asked(x), x).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
     numbers = F.split("line", " ").cast("array<double>")
-    return writers.matrix_text(d).select("left_id", F.size(numbers).alias("n"), F.round(F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v)).alias("total"))
+    return writers.row_text(search.distance_rows(asked(x), x)).select("left_id", F.size(numbers).alias("n"), F.round(F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
 @register(f"WITH {_CHAIN} SELECT mol_id, 'order ' || mol_id AS name, (count(*) * (count(*) - 1) // 2)::INTEGER AS n FROM m GROUP BY mol_id")

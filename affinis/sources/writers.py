@@ -32,12 +32,17 @@ def dense_rows(distances: DataFrame) -> DataFrame:
 
 def matrix_text(distances: DataFrame, separator: str = " ") -> DataFrame:
     """left_id, line: rows of a distance matrix with six significant digits."""
+    return row_text(dense_rows(distances), separator)
+
+
+def row_text(rows: DataFrame, separator: str = " ") -> DataFrame:
+    """left_id, line: dists of each row (as dense_rows() or search.distance_rows() give them) with six significant digits."""
 
     def digits(x: Column) -> Column:
         scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(x))))
         return F.regexp_replace(F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale).cast("string"), r"\.0$", "")
 
-    return dense_rows(distances).select("left_id", F.array_join(F.transform("dists", digits), separator).alias("line"))
+    return rows.select("left_id", F.array_join(F.transform("dists", digits), separator).alias("line"))
 
 
 def to_float_vectors(vectors: DataFrame, vec: str = "vec") -> DataFrame:

@@ -74,3 +74,9 @@ def test_rows_of_a_matrix_whole_and_in_pieces(spark, monkeypatch, block):
     monkeypatch.undo()
     d = search.distances(few, x).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
     assert got == {r[0]: r[1] for r in writers.dense_rows(d).collect()}
+
+
+def test_text_of_rows_is_that_of_the_matrix(spark):
+    x, _ = table(spark, 30)
+    d = search.distances(x, x).select(F.col("query_id").alias("left_id"), F.col("target_id").alias("right_id"), "dist")
+    assert sorted(map(tuple, writers.row_text(search.distance_rows(x, x)).collect())) == sorted(map(tuple, writers.matrix_text(d).collect()))
