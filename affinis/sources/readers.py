@@ -72,9 +72,14 @@ def rename_mol2(records: DataFrame, name: str) -> DataFrame:
 
 
 def pdb_residues(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, chain, residue, residue_id, text: runs of ATOM and HETATM lines with one residue id, in file order."""
-    whole = _whole(spark, path).select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    atoms = whole.where(F.col("value").rlike("^(ATOM|HETATM)")).withColumn("residue_id", F.substring("value", 23, 5))
+    """file, n, chain, residue, residue_id, text: runs of ATOM and HETATM lines with one residue id, in file order.
+
+    Files are read line by line, in parallel within a file; a line's place is its block and its number there, by which the
+    lines of a file are sorted on disk where they are many.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), place.alias("line"))
+    atoms = lines.where(F.col("value").rlike("^(ATOM|HETATM)")).withColumn("residue_id", F.substring("value", 23, 5))
     atoms = atoms.where(F.trim(F.substring("value", 23, 4)).rlike(r"^-?\d+$"))
     w = Window.partitionBy("file").orderBy("line")
     new = F.coalesce((F.col("residue_id") != F.lag("residue_id").over(w)).cast("int"), F.lit(1))

@@ -109,3 +109,20 @@ def test_record_marks(spark, tmp_path):
             (where / (name + ".sdf" + ".gz" * packed)).write_bytes(gzip.compress(data) if packed else data)
         got = sorted(r["sdf"] for r in readers.sdf_records(spark, str(where)).collect())
         assert got == ["a\n1\n", "b\n2\n", "c\n1\n", "d\n2\n", "e\n1\n", "f\n2\n", "g\n1\n", "h\ncosts $$$$ 5\n", "i\n", "j\n"]
+
+
+def test_a_pdb_file_is_read_by_lines_and_not_whole(spark, tmp_path):
+    atom = lambda i, n: f"ATOM  {i:5d}  CA  ALA A{n:4d}     0.000"
+    lines = [atom(i, i // 3 % 9000) for i in range(4000)]
+    (tmp_path / "p.pdb").write_text("\r\n".join(["HEADER", *lines]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.pdb_residues(spark, str(tmp_path / "p.pdb"))
+        assert spark.read.text(str(tmp_path / "p.pdb")).rdd.getNumPartitions() > 3
+        rows = got.orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "wholetext" not in got._jdf.queryExecution().toString() and "Generate" not in got._jdf.queryExecution().toString()
+    assert [r["n"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) == 1334
+    assert "\n".join(r["text"] for r in rows) == "\n".join(lines)
