@@ -5,7 +5,9 @@ Sequence i of partition p has the number p * SPAN + i; a Feistel network over th
 it falls below partitions * SPAN, permutes these numbers, so that every text is encoded once: no count of sequences is
 needed before they are dealt out. Shards are ranges of the permuted numbers, in order; a sequence's slot is how many
 come before it, which the sizes of the files before its own tell. So a reader that knows a slot knows its file and
-offset, and resumes anywhere.
+offset, and resumes anywhere. Texts may have phases: then the sequences are dealt out phase after phase, by the
+permutation within each; a partition's texts are taken in the order of their phases, and a sequence is of the phase that
+its first token is of.
 
 A record is 4 bytes n_tokens, 2 bytes n_docs, 2 bytes whether it begins inside a text, 8 bytes its number; DOCS times 8
 bytes of doc_id, DOCS times 2 bytes of where that document begins; 2 * length bytes of identifiers, the end mark after
@@ -39,6 +41,7 @@ SPAN = 1 << 32
 #: Bytes of text for each token that the number of shards is reckoned by.
 TOKEN_BYTES = 3
 RECORDS = 256
+MAX_PHASES = 1024
 
 
 def _keys(key: int) -> np.ndarray:
@@ -75,6 +78,7 @@ class Packer:
     def __init__(self, length: int, first: int) -> None:
         self.length, self.number = length, first
         self.rows = np.zeros((RECORDS, stride(length) - 1), np.uint8)
+        self.phases = np.zeros(RECORDS, np.int64)
         self.made = 0
         self.open()
 
@@ -94,8 +98,8 @@ class Packer:
         self.made, self.number = self.made + 1, self.number + 1
         self.open()
 
-    def add(self, doc: int, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(numbers, records) whenever there are RECORDS of them."""
+    def add(self, doc: int, tokens: np.ndarray, phase: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, records, phases) whenever there are RECORDS of them."""
         at = 0
         while at < len(tokens):
             if len(self.ids) == DOCS:
@@ -104,6 +108,8 @@ class Packer:
                     yield self.take()
             n = min(self.length - self.filled, len(tokens) - at)
             self.inside = self.inside or int(at > 0)
+            if not self.ids:
+                self.phases[self.made] = phase
             self.ids.append(doc)
             self.starts.append(self.filled)
             self.tokens[self.filled : self.filled + n] = tokens[at : at + n]
@@ -113,33 +119,51 @@ class Packer:
                 if self.made == RECORDS:
                     yield self.take()
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, self.made = self.made, 0
-        return np.arange(self.number - n, self.number), self.rows[:n]
-
-
-def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ranks: str | None = None, fixed: bool = False) -> None:
+        return np.arange(self.number - n, self.number), self.rows[:n], self.phases[:n]
+
+
+def write_shards(
+    docs: DataFrame,
+    path: str,
+    length: int = LENGTH,
+    per_shard: int = PER_SHARD,
+    key: int = KEY,
+    ranks: str | None = None,
+    fixed: bool = False,
+    phase: str | None = None,
+) -> None:
     """Write docs (doc_id, text) to the folder path as shards.
 
     docs must give the same rows in the same partitions if a task is run again after a lost executor: pass fixed=True
     for a plain scan of files, else it is written to the shared folder first. A null or empty text gives no part of a
     sequence; a text of any length is written whole. A null doc_id is written as -1. The last sequence of a partition
     may be shorter, and so is one that ends because it holds DOCS documents. Repeated rows are written as often as they
-    occur; other columns are not read. No tokens: no records. Only the records are shuffled, once, straight to their
-    shard. A shard has about per_shard records at TOKEN_BYTES bytes of text for a token; the ranges are equal, so that
-    the numbers of records differ by about their square root. Files are committed by Spark's text writer, which gets
-    the bytes by a cast to string that doesn't check them, and ends each record with the line feed; a file whose size
-    is not a multiple of the stride fails the reading.
+    occur; other columns are not read, but for the one that ``phase`` names: whole numbers, at most MAX_PHASES of them,
+    lower ones first, null as 0, a function of the row. No tokens: no records. Only the records are shuffled, once, straight to their
+    shard. A shard has about per_shard records at TOKEN_BYTES bytes of text for a token; the ranges are equal (within a
+    phase, which has its share of the shards by its bytes), so that the numbers of records differ by about their square
+    root. Files are committed by Spark's text writer, which gets the bytes by a cast to string that doesn't check them,
+    and ends each record with the line feed; a file whose size is not a multiple of the stride fails the reading.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    at = F.lit(0) if phase is None else F.coalesce(F.col(phase).cast("int"), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), at.alias("phase"))
     if not fixed:
         rows = materialise(rows, "texts")
-    texts, size = rows.agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(1, -(-(size // TOKEN_BYTES + texts) // (length * per_shard)))
+    sizes = rows.groupBy("phase").agg(F.count("text"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).limit(MAX_PHASES + 1).collect()
+    if len(sizes) > MAX_PHASES:
+        raise ValueError(f"more than {MAX_PHASES} phases")
+    tokens = {p: size // TOKEN_BYTES + texts for p, texts, size in sorted(sizes)}
+    total = sum(tokens.values())
+    shards = max(1, -(-total // (length * per_shard)))
     partitions = max(1, rows.rdd.getNumPartitions())
     domain = partitions * SPAN
-    width = -(-domain // shards)
+    phases = {p: i for i, p in enumerate(tokens)}
+    # where the phases begin and end, in shards
+    edges = np.cumsum([0, *tokens.values()]) / max(1, total) * shards
+    ordered = rows.sortWithinPartitions("phase", "doc_id", "text") if len(phases) > 1 else rows
 
     def records(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(ranks), TaskContext.get().partitionId()
@@ -147,18 +171,21 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
             raise RuntimeError("docs has more partitions than before")
         packer, end = Packer(length, part * SPAN), np.array([END], np.uint16)
 
-        def batch(numbers: np.ndarray, made: np.ndarray) -> pa.RecordBatch:
+        def batch(numbers: np.ndarray, made: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
             if numbers[-1] >= (part + 1) * SPAN:
                 raise RuntimeError("a partition has too many sequences")
             places = permute(numbers, domain, key)
+            # rises with the phase and the place in it, rounding included
+            to = np.minimum(edges[of] + places / domain * (edges[of + 1] - edges[of]), edges[of + 1])
+            to = np.minimum(to.astype(np.int32), shards - 1)
             ends = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
             data = pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(ends), pa.py_buffer(made.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array((places // width).astype(np.int32)), pa.array(places), data], names=["shard", "place", "record"])
+            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(of), pa.array(places), data], names=["shard", "phase", "place", "record"])
 
         for b in it:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 if text := text.as_py():
-                    for made in packer.add(-1 if doc is None else doc, np.concatenate([encode(text), end])):
+                    for made in packer.add(-1 if doc is None else doc, np.concatenate([encode(text), end]), phases[at]):
                         yield batch(*made)
         if packer.filled:
             packer.close()
@@ -166,7 +193,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
             yield batch(*packer.take())
         give_back()
 
-    out = rows.mapInArrow(records, "shard int, place long, record binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    out = ordered.mapInArrow(records, "shard int, phase long, place long, record binary")
+    out = out.repartitionById(shards, F.col("shard")).sortWithinPartitions("phase", "place")
     out.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path)
     discard(rows)
 
@@ -222,9 +250,9 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, tokens: bo
     return files.select("path", "content").mapInArrow(parsed, schema)
 
 
-def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, fixed: bool = False) -> DataFrame:
+def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, fixed: bool = False, phase: str | None = None) -> DataFrame:
     """Write docs as shards into the shared folder and return what they hold, with the digest of the tokens (sha256) in their place."""
     spark = docs.sparkSession
     path = fresh(spark, "shards")
-    write_shards(docs, path, length, per_shard, key, fixed=fixed)
+    write_shards(docs, path, length, per_shard, key, fixed=fixed, phase=phase)
     return read_shards(spark, path, length, tokens=False)

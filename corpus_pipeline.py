@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it ke
 documents; the last writes the shards and returns what they hold. docs is a plain scan of a written table, which gives
 the same rows in the same places each time. Of rows that repeat an id and a text one stays, as of other duplicates; a
 null id is an id like any other. A null or empty text is scored by the quality model's bias, is a duplicate of equal
-texts only, is not contaminated, has a place in the mixture, and adds nothing to the shards. A stage given no rows
+texts only, is not contaminated, has a phase in the mixture, and adds nothing to the shards. A stage given no rows
 returns none.
 """
 
@@ -48,13 +48,17 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay: no weights are asked for, so what a large source has beyond its default one comes later."""
-    return mixing.mix(docs, fraction=None).where("in_mix").select(*docs.columns)
+    """All documents stay, and are told their phase of the mixture, by which the shards are ordered.
+
+    No weights are asked for, so what a large source has beyond its default one comes in later phases. Where these begin
+    goes with the column source, as metadata, since a stage returns the columns of documents.
+    """
+    return mixing.in_phases(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences in training order; docs is a written table, so its scan is the same twice."""
-    return training_order.training_order(docs.select("doc_id", "text"), fixed=True)
+    """Sequences in training order, phase after phase of the mixture; docs is a written table, so its scan is the same twice."""
+    return training_order.training_order(docs.select("doc_id", "text", mixing.phase(docs).alias("phase")), fixed=True, phase="phase")
 
 
 STAGES = [

@@ -183,6 +183,61 @@ def test_pipeline_mixes_without_loss(spark):
     assert all(r["in_mix"] == (r["source"] == "s1") for r in only)
 
 
+def test_cuts():
+    sources = [(40, 3, [0, 3, 6]), (7, 4, [1, 2, 5, 7]), (1, 1, [4])]
+    taken = sorted(j // a * 8 + slots[j % a] for blocks, a, slots in sources for j in range(blocks))
+    for n in (1, 2, 5, 48):
+        got = mixing.cuts(sources, n, 8)
+        assert len(got) == n - 1
+        sizes = np.diff([0, *[sum(t < c for t in taken) for c in got], len(taken)])
+        assert sizes.sum() == 48 and sizes.max() - sizes.min() <= 1
+    assert mixing.cuts([], 3, 8) == [0, 0]
+
+
+def test_phases_follow_the_slots(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["hot", "hot", "hot", 's"1', "s2", None]), f"{i} " + "x" * rnd.randrange(300)) for i in range(1500)]
+    rows += [(None, "s2", "z"), (None, "hot", None), (9, "hot", "again"), (9, "hot", "again"), (2000, "s2", "y" * 5000), (2001, "tiny", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    made = mixing.in_phases(df, block_chars=256, frame=64, phases=10)
+    made.write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    assert read.columns == df.columns and read.count() == len(rows)
+    got = sorted(map(tuple, read.select("*", mixing.phase(read)).collect()), key=repr)
+    slots = {r[:3]: r[3] for r in map(tuple, mixing.mix(df, fraction=None, block_chars=256, frame=64).drop("block", "in_mix").collect())}
+    phase = {r[:3]: r[3] for r in got}
+    assert sorted((r[:3] for r in got), key=repr) == sorted(rows, key=repr) and set(phase.values()) == set(range(10))
+    by_slot = sorted((slots[r], phase[r]) for r in slots)
+    assert [p for _, p in by_slot] == sorted(p for _, p in by_slot)
+    chars = [sum(len(r[2] or "") for r in got if r[3] == p) for p in range(10)]
+    assert max(chars) < 1.5 * min(chars) and sum(chars) == sum(len(r[2] or "") for r in rows)
+    hot = [sum(len(r[2] or "") for r in got if r[3] == p and r[1] == "hot") / chars[p] for p in range(10)]
+    assert sum(hot[:5]) / 5 + 0.05 < sum(hot) / 10 < hot[9]
+    only = mixing.in_phases(df, weights={"s2": 1.0, "tiny": 0.0}, block_chars=256, frame=64)
+    assert sorted(r["source"] for r in only.collect()) == sorted(r[1] for r in rows if r[1] == "s2")
+    assert mixing.in_phases(df.limit(0)).count() == 0 and df.select(mixing.phase(df)).distinct().collect() == [(0,)]
+
+
+def test_mixture_orders_the_shards(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choice("abcde fgh ") for _ in range(3000)), "en", "hot" if i % 3 else f"s{i % 12}", 3000) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(4).write.parquet(f"{tmp_path}/docs")
+    corpus_pipeline.source_mix(spark, spark.read.parquet(f"{tmp_path}/docs"), SF).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    assert mixed.columns == df.columns
+    of = dict(map(tuple, mixed.select("doc_id", mixing.phase(mixed)).collect()))
+    assert len(of) == 900 and max(of.values()) > 20
+    seqs = corpus_pipeline.shards(spark, mixed, SF).orderBy("slot").collect()
+    assert {d for r in seqs for d in r["doc_ids"]} == set(range(900))
+    first = [of[r["doc_ids"][0]] for r in seqs]
+    assert first == sorted(first)  # phase after phase, a sequence with the first text in it
+    parts = [[rows[d][3] == "hot" for r in part for d in r["doc_ids"]] for part in (seqs[: len(seqs) // 2], seqs[-len(seqs) // 10 :])]
+    early, late = [sum(p) / len(p) for p in parts]
+    a = {r["key"]: r["a"] for r in mixing.schedule(spark.createDataFrame([("hot", 1800000), *[(f"s{i}", 225000) for i in (0, 3, 6, 9)]], "key string, total long"), None, 0.8, 8192).collect()}
+    assert abs(early - a["hot"] / 8192) < 0.03 and late > 0.9  # its weight, not its share of 2/3, until others run dry
+
+
 # ---- chat
 
 
@@ -280,6 +335,32 @@ def test_shards(spark, tmp_path, fixed):
         training_order.read_shards(spark, f"{tmp_path}/shards", 64)
 
 
+@pytest.mark.parametrize("phases", [1, 3, 9])
+def test_shards_in_phases(spark, tmp_path, phases):
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choice("abc de é ") for _ in range(rnd.randrange(900))), rnd.randrange(phases) * 5 - 3) for i in range(300)] + [(300, None, None), (301, "no phase", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for path in ("a", "b"):
+        training_order.write_shards(docs, f"{tmp_path}/{path}", 64, 16, fixed=path == "a", phase="part")
+    got = training_order.read_shards(spark, f"{tmp_path}/a", 64).orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(got))) and len({r["shard"] for r in got}) > len(got) / 16 / 3
+    of = {i: p or 0 for i, _, p in rows}
+    first = [of[r["doc_ids"][0]] for r in got]
+    assert first == sorted(first)
+    n = docs.rdd.getNumPartitions() * training_order.SPAN
+    places = training_order.permute(np.array([r["seq_id"] for r in got]), n)
+    assert all(a < b for a, b, p, q in zip(places, places[1:], first, first[1:]) if p == q)
+    encode = encoder()
+    tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint16) for r in sorted(got, key=lambda r: r["seq_id"])]).tolist()
+    want = sorted([*encode(t).tolist(), END] for _, t, _ in rows if t)
+    ends = [-1, *[i for i, t in enumerate(tokens) if t == END]]
+    assert sorted(tokens[a + 1 : b + 1] for a, b in zip(ends, ends[1:])) == want and tokens[-1] == END
+    with pytest.raises(ValueError, match="phases"):
+        many = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").alias("part"))
+        training_order.write_shards(many, f"{tmp_path}/c", phase="part")
+
+
 def test_encoder_equals_the_library():
     e, rnd = encoder(), random.Random(9)
     for _ in range(3000):
