@@ -226,16 +226,15 @@ def test_mixture_orders_the_shards(spark, tmp_path):
     corpus_pipeline.source_mix(spark, spark.read.parquet(f"{tmp_path}/docs"), SF).write.parquet(f"{tmp_path}/mixed")
     mixed = spark.read.parquet(f"{tmp_path}/mixed")
     assert mixed.columns == df.columns
-    of = dict(map(tuple, mixed.select("doc_id", mixing.phase(mixed)).collect()))
-    assert len(of) == 900 and max(of.values()) > 20
     seqs = corpus_pipeline.shards(spark, mixed, SF).orderBy("slot").collect()
     assert {d for r in seqs for d in r["doc_ids"]} == set(range(900))
-    first = [of[r["doc_ids"][0]] for r in seqs]
-    assert first == sorted(first)  # phase after phase, a sequence with the first text in it
     parts = [[rows[d][3] == "hot" for r in part for d in r["doc_ids"]] for part in (seqs[: len(seqs) // 2], seqs[-len(seqs) // 10 :])]
     early, late = [sum(p) / len(p) for p in parts]
     a = {r["key"]: r["a"] for r in mixing.schedule(spark.createDataFrame([("hot", 1800000), *[(f"s{i}", 225000) for i in (0, 3, 6, 9)]], "key string, total long"), None, 0.8, 8192).collect()}
     assert abs(early - a["hot"] / 8192) < 0.03 and late > 0.9  # its weight, not its share of 2/3, until others run dry
+    of = dict(map(tuple, mixed.select("doc_id", mixing.phase(mixed)).collect()))
+    first = [of[r["doc_ids"][0]] for r in seqs]
+    assert len(of) == 900 and max(first) > 20 and first == sorted(first)  # phase after phase, a sequence with the first text in it
 
 
 # ---- chat
