@@ -229,11 +229,11 @@ def _merged(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = size(["component", "token"]).join(tied.hint("merge"), "part").groupBy("cluster", "component", "token").agg(F.sum("c").alias("t"), F.max("c").alias("m"))
     apart = each.groupBy("cluster").agg(F.sum(F.expr("double(t) * (t - m)")).alias("apart"))
     once = size([]).join(tied.hint("merge"), "part").groupBy("cluster").agg(F.sum("c").alias("t"), F.max("c").alias("m"))
-    one = apart.join(once.hint("merge"), "cluster").where("double(t) * (t - m) < apart").select("cluster")
-    one = materialise(tied.join(one.hint("merge"), "cluster"), "one-group")
+    one = materialise(apart.join(once.hint("merge"), "cluster").where("double(t) * (t - m) < apart").select("cluster"), "one-group")
     if one.isEmpty():
         return met, groups
-    few = met.groupBy("part").agg(parts_of("id")).join(one.hint("merge"), "part", "left")
+    # one is a table, so the parts of a large cluster are not gathered where it has been summed up
+    few = met.groupBy("part").agg(parts_of("id")).join(tied.join(one.hint("merge"), "cluster").hint("merge"), "part", "left")
     named = materialise(told(met, few, ["part"], "id"), "met-clusters")
     rows = named.where("cluster IS NOT NULL").select(F.col("cluster").alias("component"), "id", "part", "n", F.lit(-1).cast("long").alias("token")).distinct()
     whole = rows.groupBy("component", "token").agg(F.count("*").alias("texts"), F.sum("n").alias("total"), F.min("part").alias("low"), parts_of("id"))
@@ -320,13 +320,14 @@ def classes(
     made = materialise(sketch(docs, key, text, bands, rows, shingle, tf), "sketches")
     equal = made.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("id").alias("rep"), parts_of("id"))
     equal = materialise(equal, "equal-texts")
-    reps = made.where("size(bands) > 0").join(equal.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    some = made.where("size(bands) > 0")
+    reps = some.join(equal.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
 
     def found() -> DataFrame:
         buckets = reps.select("id", F.explode("bands").alias("bucket"))
         hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other"), parts_of("id")).where("hub < other").drop("other")
         coarse = components(told(buckets, hubs, ["bucket"], "id").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        return _verified(coarse, reps, similarity).select(F.col("id").alias("rep"), "component")
+        return _verified(coarse, some, similarity).select(F.col("id").alias("rep"), "component")
 
     def whole() -> DataFrame:
         named = equal.join(settled(found, "found").hint("merge"), "rep", "left")

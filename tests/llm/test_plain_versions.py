@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from affinis.llm import _common, bpe_count, chat, decontaminate, language, mixing, near_dup, quality, queries
+from affinis.operators import components
 from affinis.plans import lineage
 from tests.llm.test_text_operators import similarity_classes
 
@@ -214,3 +215,37 @@ def test_texts_of_one_base_meet_once_and_not_for_each_rare_shingle(spark, monkey
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == dict(enumerate(root))
     assert met[-1] < 60 * 17, met  # all with all in blocks of 8; one group for each shingle took several times that
+
+
+def jobs_of(spark, name, f):
+    """What f() gives, and how many jobs Spark ran for it."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 18])
+def test_components_by_tables_and_by_one_task(spark, monkeypatch, few):
+    """Chains, a star, a clique and loops, of which tables do all, the first rounds or nothing."""
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    edges = [(i, i + 1) for i in range(60)] + [(-5, -(1 << 62)), (7, 7), (None, 3), (500, None), (900, 900)]
+    edges += [(299, i) for i in range(200, 299)] + [(i, j) for i in range(400, 412) for j in range(400, 412)] * 2
+    want = {i: 0 for i in range(61)} | {i: 200 for i in range(200, 300)} | {i: 400 for i in range(400, 412)} | {-5: -(1 << 62), -(1 << 62): -(1 << 62)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    got, jobs = jobs_of(spark, f"components-{few}", lambda: components.components(df).collect())
+    assert sorted(map(tuple, got)) == sorted(want.items())
+    assert jobs <= 12 or few < len(edges), jobs
+
+
+def test_near_duplicates_of_few_texts_take_few_jobs(spark, monkeypatch):
+    """A chain of near copies in many chunks: each round of a contraction by tables takes as many stages as all shuffles have."""
+    monkeypatch.setattr(near_dup, "CHUNK_TEXTS", 8)
+    monkeypatch.setattr(near_dup, "HUBS", 2)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[i : i + 80]) for i in range(0, 200, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, jobs = jobs_of(spark, "chain", lambda: near_dup.classes(df).collect())
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(i, 0) for i in range(100)}
+    assert jobs < 160, jobs
